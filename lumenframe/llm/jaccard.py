@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, fresh, table
+from .common import dealt, fresh, quoted, table
 from .components import components
 from .packed import in_several, member, pack, pack_sorted, unpack, unpack_sorted
 from .suffixes import bucket_slices
@@ -451,8 +451,9 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
 
 def keep_one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows whose id is their component's; rows without words or id stay."""
-    found = jaccard_components(docs, ident, text, words, threshold).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, F.col(ident) == found["doc_id"], "left_anti")
+    found = jaccard_components(docs, ident, text, words, threshold).filter("doc_id <> component_id")
+    gone = fresh(docs.columns, "gone")[0]
+    return docs.join(found.select(F.col("doc_id").alias(gone)).distinct(), quoted(ident) == quoted(gone), "left_anti")
 
 
 def op7_divide_skip(spark, sf_dir: str) -> DataFrame:
