@@ -362,15 +362,15 @@ def kept_parts(corpus: Corpus, removed: np.ndarray) -> Iterator[tuple[int, bytes
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """All rows and columns, the text without the repeated bytes; characters of which only some bytes are left go too."""
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def finish(t: pa.Table, corpus: Corpus, removed: np.ndarray) -> pa.Table:
         texts = t.column(at).to_pylist()
         for row, data, gone in kept_parts(corpus, removed):
             if gone.any():
                 texts[row] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-        columns = [pa.array(texts, t.column(at).type) if k == at else t.column(k) for k in range(len(docs.columns))]
-        return pa.table(columns, names=docs.columns)
+        columns = [pa.array(texts, t.column(at).type) if k == at else t.column(k) for k in range(len(names))]
+        return pa.table(columns, names=names)
 
     return removed_bytes(docs, ident, text, length, finish, docs.schema)
 
