@@ -49,3 +49,25 @@ def in_several(parts: list[np.ndarray]) -> np.ndarray:
     x = np.sort(np.concatenate(parts))
     again = x[1:] == x[:-1]
     return np.unique(x[1:][again])
+
+
+def pack_bits(x: np.ndarray) -> bytes:
+    return squeeze(np.packbits(x).tobytes())
+
+
+def unpack_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(expand(data), np.uint8), count=n).astype(bool)
+
+
+def shared_bits(own: list[bytes], several: list[bytes]) -> list[bytes]:
+    """For each sender's ascending keys (those that it has several times listed again), one bit a key: whether it, or another sender, has it again."""
+    keys = [unpack_sorted(x) for x in own]
+    shared = np.union1d(in_several(keys), np.unique(np.concatenate([unpack_sorted(x) for x in several])))
+    return [pack_bits(member(x, shared)) for x in keys]
+
+
+def bucket_slices(bucket: np.ndarray):
+    """(bucket, slice) of the parts of an ascending array of bucket numbers."""
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+        yield int(bucket[a]), slice(a, b)

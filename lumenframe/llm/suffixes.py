@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dealt, fresh, table
-from .packed import expand, in_several, member, pack, pack_sorted, squeeze, unpack, unpack_sorted
+from .packed import bucket_slices, expand, member, pack, pack_sorted, shared_bits, squeeze, unpack, unpack_bits
 
 #: Length of the strings, of the anchors' leading bytes, and window starts handled at once.
 LENGTH, LEADING, SLICE = 50, 16, 1 << 20
@@ -63,103 +64,107 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Corpus:
     """The texts of a group in one buffer, in a defined order."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
+        raw = [t or b"" for t in texts]
         keys = [LAST if i is None else i for i in ids]
         self.order = sorted(range(len(raw)), key=lambda k: (keys[k], raw[k]))
         self.texts = [raw[k] for k in self.order]
         self.ids = np.array([keys[k] for k in self.order], np.int64)
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64) if raw else np.zeros(0, np.int64)
-
-    def runs(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Slice by slice, the runs of windows with one anchor: 40-bit hash of its leading bytes, first window, number of windows, place of the anchor, document."""
-        width = length - LEADING + 1
-        for at in range(0, max(0, len(self.data) - length + 1), SLICE):
-            part = self.data[at : at + SLICE + length - 1]
-            if len(part) < length:
-                return
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+
+class Runs:
+    """Runs of windows with one anchor: 40-bit hash of its leading bytes, first window, number of windows, place of the anchor, document."""
+
+    def __init__(self, corpus: Corpus, length: int):
+        self.corpus, self.length = corpus, length
+        parts = list(self._slices())
+        self.key, self.first, self.count, self.anchor, self.doc = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+
+    def _slices(self) -> Iterator[tuple[np.ndarray, ...]]:
+        data, length, low = self.corpus.data, self.length, np.uint64((1 << 24) - 1)
+        for at in range(0, len(data) - length + 1, SLICE):
+            part = data[at : at + SLICE + length - 1]
             eight = big_endian(part)
             h = eight[: len(part) - LEADING + 1] * _A
             h ^= (eight[8 : len(part) - LEADING + 9] + _A) * _B
             h ^= h >> np.uint64(32)
             h *= _B
             h ^= h >> np.uint64(29)
-            low = np.uint64((1 << 24) - 1)
-            h = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-            least = sliding_min(h, width)
-            starts = np.arange(at, at + len(least))
-            doc = np.searchsorted(self.ends, starts, side="right")
-            inside = np.flatnonzero(starts + length <= self.ends[doc])
+            h &= ~low
+            h |= np.arange(len(h), dtype=np.uint64)
+            least = sliding_min(h, length - LEADING + 1)
+            doc = self.corpus.doc[at : at + len(least)]
+            inside = np.flatnonzero(doc == self.corpus.doc[at + length - 1 : at + length - 1 + len(least)])
             if not len(inside):
                 continue
             least, doc = least[inside], doc[inside]
             new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1] + 1))))
-            count = np.diff(new, append=len(inside))
-            first = inside[new] + at
-            yield least[new] >> np.uint64(24), first, count, (least[new] & low).astype(np.int64) + at, doc[new]
-
-
-def bucket_slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Parts of an ascending array of bucket numbers."""
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        yield int(bucket[a]), slice(a, b)
-
-
-def anchor_messages(corpus: Corpus, length: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, all anchors, those met in two documents) of a group, by equal ranges of the hashes."""
-    keys, docs = [], []
-    for k, _, _, _, doc in corpus.runs(length):
-        keys.append(k)
-        docs.append(doc.astype(np.uint64))
-    if not keys:
-        return
-    k, d = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((d, k))
-    k, d = k[order], d[order]
-    several = np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
-    k = np.unique(k)
-    for b, part in bucket_slices((k * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)):
-        own = k[part]
-        yield b, pack_sorted(own), pack_sorted(own[member(own, several)])
+            least = least[new]
+            yield least >> np.uint64(24), inside[new] + at, np.diff(new, append=len(inside)), (least & low).astype(np.int64) + at, doc[new].astype(np.int64)
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, ascending, and which of them several documents have."""
+        pairs = np.unique(self.key << np.uint64(24) | self.doc.astype(np.uint64))
+        key = pairs >> np.uint64(24)
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        return key[new], np.diff(new, append=len(key)) > 1
+
+    def leading(self) -> np.ndarray:
+        """The anchors' first eight bytes, as numbers."""
+        where = self.anchor[:, None] + np.arange(8)
+        return np.ascontiguousarray(self.corpus.data[where]).view(">u8").reshape(-1).astype(np.uint64)
 
-class Runs:
-    """A group's runs whose anchors are shared, as distinct strings, by bucket of their leading bytes."""
-
-    def __init__(self, corpus: Corpus, length: int, shared: np.ndarray, splitters: np.ndarray):
-        found = []
-        for k, first, count, anchor, doc in corpus.runs(length):
-            use = member(k, shared)
-            if use.any():
-                found.append((first[use], count[use], anchor[use], doc[use]))
-        self.first, self.count, self.anchor, self.doc = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
-        data = memoryview(corpus.data)
-        text = [bytes(data[a : a + n + length - 1]) for a, n in zip(self.first.tolist(), self.count.tolist())]
-        lead = [bytes(data[a : a + 8]) for a in self.anchor.tolist()]
-        leading = np.frombuffer(b"".join(lead), ">u8").astype(np.uint64)
-        bucket = np.searchsorted(splitters, leading, side="right")
-        # Distinct strings, in an order that only the group's content decides.
-        least: dict[tuple[int, bytes, int], int] = {}
-        ids = corpus.ids[self.doc].tolist() if len(self.doc) else []
-        place = (self.anchor - self.first).tolist()
-        keys = list(zip(bucket.tolist(), text, place))
-        for key, i in zip(keys, ids):
-            if i < least.get(key, LAST + 1):
-                least[key] = i
-        self.distinct = sorted(least)
-        index = {key: n for n, key in enumerate(self.distinct)}
-        self.entry = np.fromiter((index[key] for key in keys), np.int64, len(keys))
-        self.least = np.array([least[key] for key in self.distinct], np.int64)
+
+def string_words(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> list[np.ndarray]:
+    """Strings of at most 2 * length - LEADING bytes as columns of eight-byte words, with zeros after their ends."""
+    words = []
+    for at in range(0, 2 * length - LEADING, 8):
+        spare = np.clip(at + 8 - sizes, 0, 8).astype(np.uint64) * np.uint64(8)
+        word = eight[np.minimum(starts + at, len(eight) - 1)]
+        words.append(np.where(spare < 64, word >> np.minimum(spare, np.uint64(56)) << np.minimum(spare, np.uint64(56)), np.uint64(0)))
+    return words
+
+
+def runs_of_strings(starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
+    where = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return data[where].tobytes()
+
+
+class SharedRuns:
+    """A group's runs whose anchors are shared, and their distinct strings in an order that only the content decides: by bucket, then as texts."""
+
+    def __init__(self, runs: Runs, shared: np.ndarray, splitters: np.ndarray):
+        corpus, length = runs.corpus, runs.length
+        use = np.flatnonzero(member(runs.key, shared))
+        self.corpus, self.first, self.count, self.doc = corpus, runs.first[use], runs.count[use], runs.doc[use]
+        self.sizes, self.places = self.count + length - 1, runs.anchor[use] - self.first
+        runs.anchor = runs.anchor[use]
+        self.bucket = np.searchsorted(splitters, runs.leading(), side="right")
+        columns = [[] for _ in range(0, 2 * length - LEADING, 8)]
+        for at in range(0, len(corpus.data), SLICE):  # the runs ascend
+            low, high = np.searchsorted(self.first, (at, at + SLICE))
+            if low < high:
+                eight = big_endian(corpus.data[at : at + SLICE + 2 * length])
+                for out, word in zip(columns, string_words(eight, self.first[low:high] - at, self.sizes[low:high], length)):
+                    out.append(word)
+        words = [np.concatenate([np.zeros(0, np.uint64), *c]) for c in columns]
+        order, classes = multikey_sort([self.bucket.astype(np.uint64), *words, self.sizes.astype(np.uint64) << np.uint64(16) | self.places.astype(np.uint64)])
+        cuts = np.flatnonzero(np.diff(classes, prepend=-1))
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = classes
+        self.distinct = order[cuts]
+        self.least = np.minimum.reduceat(corpus.ids[self.doc][order], cuts) if len(cuts) else np.zeros(0, np.int64)
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, strings with anchor's places and least ids)."""
-        bucket = np.array([k[0] for k in self.distinct], np.int64)
+        """(bucket, strings with anchors' places and least ids)."""
+        bucket = self.bucket[self.distinct]
         for b, part in bucket_slices(bucket) if len(bucket) else ():
-            keys = self.distinct[part]
-            sizes, places = np.array([len(k[1]) for k in keys], np.uint16), np.array([k[2] for k in keys], np.uint16)
-            blobs = [pack(sizes), pack(places), pack(self.least[part]), squeeze(b"".join(k[1] for k in keys))]
+            rows = self.distinct[part]
+            blobs = [pack(self.sizes[rows].astype(np.uint16)), pack(self.places[rows].astype(np.uint16)), pack(self.least[part]), squeeze(runs_of_strings(self.first[rows], self.sizes[rows], self.corpus.data))]
             yield b, b"".join(len(x).to_bytes(4, "big") + x for x in blobs)
 
 
@@ -179,6 +184,8 @@ def multikey_sort(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """
     order = np.argsort(words[0])
     n = len(order)
+    if not n:
+        return order, order
     new = np.ones(n, bool)
     new[1:] = words[0][order][1:] != words[0][order][:-1]
     for word in words[1:]:
@@ -226,41 +233,34 @@ def compare_runs(sizes: np.ndarray, places: np.ndarray, ids: np.ndarray, strings
 
 
 def compare_part(starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, ids: np.ndarray, group: np.ndarray, eight: np.ndarray, length: int) -> np.ndarray:
-    span = 2 * length - LEADING
-    words = []
-    for d in range(-(-span // 8)):
-        inside = 8 * d < sizes
-        word = np.where(inside, eight[np.minimum(starts + 8 * d, len(eight) - 1)], np.uint64(0))
-        spare = np.clip(8 * (d + 1) - sizes, 0, 8).astype(np.uint64)  # bytes after the string's end don't count
-        words.append(np.where(spare < 8, word >> np.minimum(spare * 8, np.uint64(56)) << np.minimum(spare * 8, np.uint64(56)), np.uint64(0)))
-    words.append(sizes.astype(np.uint64) << np.uint64(16) | places.astype(np.uint64))
-    order, classes = multikey_sort(words)
+    words = string_words(eight, starts, sizes, length)
+    order, classes = multikey_sort([*words, sizes.astype(np.uint64) << np.uint64(16) | places.astype(np.uint64)])
     least = least_by_class(order, classes, ids)
     windows = sizes - length + 1
-    full = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
-    masks = np.where(least < ids, full, np.uint64(0))
+    masks = np.where(least < ids, (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1), np.uint64(0))
     # Anchors with several different strings: their windows are compared one by one, each string once.
-    one_of = np.empty(classes[-1] + 1, np.int64)
-    one_of[classes[::-1]] = order[::-1]
-    kinds = np.bincount(group[one_of] - group[0], minlength=group[-1] - group[0] + 1)
-    several = one_of[kinds[group[one_of] - group[0]] > 1]
+    one_of = order[np.flatnonzero(np.diff(classes, prepend=-1))]
+    anchor = group - group[0]
+    several = np.flatnonzero(np.bincount(anchor[one_of], minlength=anchor[-1] + 1)[anchor[one_of]] > 1)
     if len(several):
-        count = windows[several]
-        string = np.repeat(np.arange(len(several)), count)
-        offset = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        at = starts[several][string] + offset
-        steps = [*range(0, length - 8, 8), length - 8]
-        w_order, w_classes = multikey_sort([eight[at + s] for s in steps])
-        w_least = least_by_class(w_order, w_classes, least[several][string])
+        rep = one_of[several]
+        count = windows[rep]
+        first = np.cumsum(count) - count
+        string = np.repeat(np.arange(len(rep)), count)
+        at = starts[rep][string] + np.arange(len(string)) - first[string]
+        w_order, w_classes = multikey_sort([eight[at + k] for k in (*range(0, length - 8, 8), length - 8)])
+        w_least = least_by_class(w_order, w_classes, least[rep][string])
+        place = np.full(len(one_of), -1)
+        place[several] = np.arange(len(several))
         class_of = np.empty(len(order), np.int64)
         class_of[order] = classes
-        place = np.full(classes[-1] + 1, -1)
-        place[class_of[several]] = np.arange(len(several))
-        first = np.cumsum(count) - count
-        for row in np.flatnonzero(place[class_of] >= 0):
-            s = place[class_of[row]]
-            hit = w_least[first[s] : first[s] + count[s]] < ids[row]
-            masks[row] = np.uint64(int("".join("1" if x else "0" for x in hit[::-1]), 2))
+        rows = np.flatnonzero(place[class_of] >= 0)
+        s = place[class_of[rows]]
+        n = count[s]
+        begin = np.cumsum(n) - n
+        bit = np.arange(n.sum()) - np.repeat(begin, n)
+        hit = w_least[np.repeat(first[s], n) + bit] < np.repeat(ids[rows], n)
+        masks[rows] = np.add.reduceat(hit.astype(np.uint64) << bit.astype(np.uint64), begin)
     return masks
 
 
@@ -271,12 +271,9 @@ def sample_splitters(docs: DataFrame, text: str, length: int, buckets: int, rows
 
     def leads(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            corpus = Corpus([0] * len(texts), texts)
-            found = [corpus.data[a + k] for _, _, _, a, _ in corpus.runs(length) for k in [np.arange(8)[:, None]]]
-            for x in found:
-                lead = np.ascontiguousarray(x.T[:: max(1, x.shape[1] // 4096)]).view(">i8").reshape(-1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(lead)], names=["lead"])
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            lead = Runs(Corpus([0] * len(texts), texts), length).leading()
+            yield pa.RecordBatch.from_arrays([pa.array(lead[:: max(1, len(lead) // 4096)].view(np.int64))], names=["lead"])
 
     sample = docs.select(text).sample(min(1.0, SAMPLE_DOCS / rows), 23) if rows > SAMPLE_DOCS else docs.select(text)
     found = np.sort(sample.mapInArrow(leads, "lead long").toArrow().column("lead").to_numpy().astype(np.int64).view(np.uint64))
@@ -296,27 +293,33 @@ def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, s
     id_at, text_at, group_at = rows.columns.index(ident), rows.columns.index(text), rows.columns.index(group)
 
     def corpus_of(t: pa.Table) -> Corpus:
-        return Corpus(t.column(id_at).to_pylist(), t.column(text_at).to_pylist())
+        return Corpus(t.column(id_at).to_pylist(), t.column(text_at).cast(pa.binary()).to_pylist())
 
     def number_of(*tables: pa.Table) -> int:
         return next(t.column(at)[0].as_py() for t, at in zip(tables, (group_at, 0)) if t.num_rows)
 
+    def bucket_of(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+
     def send_anchors(t: pa.Table) -> pa.Table:
-        out = list(anchor_messages(corpus_of(t), length, buckets))
+        keys, several = Runs(corpus_of(t), length).anchors()
+        out = [(b, pack_sorted(keys[part]), pack_sorted(keys[part][several[part]])) for b, part in (bucket_slices(bucket_of(keys)) if len(keys) else ())]
         g = number_of(t)
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), "anchors": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([x[2] for x in out], pa.binary())})
 
     def find_shared(t: pa.Table) -> pa.Table:
-        own = [unpack_sorted(x) for x in t.column("anchors").to_pylist()]
-        shared = np.union1d(in_several(own), np.unique(np.concatenate([unpack_sorted(x) for x in t.column("several").to_pylist()])))
-        answers = [pack_sorted(x[member(x, shared)]) for x in own]
-        return pa.table({"receiver": t.column("sender"), "anchors": pa.array(answers, pa.binary())})
+        bits = shared_bits(t.column("anchors").to_pylist(), t.column("several").to_pylist())
+        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    def shared_of(t: pa.Table) -> np.ndarray:
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in t.column("anchors").to_pylist())]))
+    def shared_runs(corpus: Corpus, answers: pa.Table) -> SharedRuns:
+        runs = Runs(corpus, length)
+        keys = runs.anchors()[0]
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        shared = [keys[part][unpack_bits(bits[b], part.stop - part.start)] for b, part in (bucket_slices(bucket_of(keys)) if len(keys) else ())]
+        return SharedRuns(runs, np.concatenate([np.zeros(0, np.uint64), *shared]), splitters)
 
     def send_runs(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out = list(Runs(corpus_of(t), length, shared_of(answers), splitters).messages()) if t.num_rows else []
+        out = list(shared_runs(corpus_of(t), answers).messages()) if t.num_rows else []
         g = number_of(t, answers)
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), "runs": pa.array([x[1] for x in out], pa.binary())})
 
@@ -330,27 +333,26 @@ def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, s
     def remove(t: pa.Table, both: pa.Table) -> pa.Table:
         corpus = corpus_of(t)
         starts = np.zeros(len(corpus.data) + 1, np.int8)
-        anchors = both.filter(pa.compute.is_valid(both.column("anchors")))
-        answers = both.filter(pa.compute.is_valid(both.column("masks"))).sort_by("bucket")
+        answers = both.filter(pc.is_valid(both.column("masks"))).sort_by("bucket")
         if answers.num_rows:
-            runs = Runs(corpus, length, shared_of(anchors), splitters)
+            runs = shared_runs(corpus, both.filter(pc.is_valid(both.column("bits"))))
             masks = np.concatenate([unpack(x, np.uint64) for x in answers.column("masks").to_pylist()])[runs.entry]
             full = (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1)
             masks = np.where(corpus.ids[runs.doc] > runs.least[runs.entry], full, masks)
             for k in range(int(runs.count.max())):
                 hit = (masks >> np.uint64(k) & np.uint64(1)).astype(bool)
                 starts[runs.first[hit] + k] = 1
-        change = np.zeros(len(corpus.data) + length, np.int32)
+        change = np.zeros(len(corpus.data) + length, np.int8)
         change[: len(starts)] += starts
         change[length:] -= starts[: len(corpus.data)]
-        return finish(t, corpus, np.cumsum(change)[: len(corpus.data)] > 0)
+        return finish(t, corpus, np.cumsum(change, dtype=np.int16)[: len(corpus.data)] > 0)
 
-    blobs = "bucket long, sender long, anchors binary, several binary"
-    shared = rows.groupBy(group).applyInArrow(send_anchors, blobs).groupBy("bucket").applyInArrow(find_shared, "receiver long, anchors binary")
+    sent = rows.groupBy(group).applyInArrow(send_anchors, "bucket long, sender long, anchors binary, several binary")
+    shared = sent.groupBy("bucket").applyInArrow(find_shared, "receiver long, bucket long, bits binary")
     runs = rows.groupBy(group).cogroup(shared.groupBy("receiver")).applyInArrow(send_runs, "bucket long, sender long, runs binary")
     masks = runs.groupBy("bucket").applyInArrow(compare, "receiver long, bucket long, masks binary")
-    none = F.lit(None)
-    both = shared.select("receiver", none.cast("long").alias("bucket"), "anchors", none.cast("binary").alias("masks")).unionAll(masks.select("receiver", "bucket", none.cast("binary").alias("anchors"), "masks"))
+    none = F.lit(None).cast("binary")
+    both = shared.select("receiver", "bucket", "bits", none.alias("masks")).unionAll(masks.select("receiver", "bucket", none.alias("bits"), "masks"))
     return rows.groupBy(group).cogroup(both.groupBy("receiver")).applyInArrow(remove, schema)
 
 
@@ -383,7 +385,7 @@ def repeat_digests(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
         ids, out = t.column(at).to_pylist(), []
         for row, data, gone in kept_parts(corpus, removed):
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
+            kept = np.frombuffer(data, np.uint8)[~gone] if spans else data
             out.append((ids[row], len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
         kinds = [pa.int64()] * 4 + [pa.string()]
         columns = zip(*out) if out else [[]] * 5
