@@ -3,10 +3,11 @@
 Two sets link if 100 * intersection >= threshold * union. Everything below is exact but for
 64-bit hashes standing for shingles.
 
-1. Documents with equal sets are one class, for which its least id stands.
-2. With any common order of shingles, linked sets share one among the first
-   n - ceil(threshold * n) + 1 of each. Groups of documents send theirs (the order is the
-   hash); those of one document only are forgotten, and so are documents left with none.
+1. Documents with equal sets are one class; from here on the least id stands for it.
+2. With any common order of shingles, linked sets share the first l of those they have in
+   common among the first n - ceil(threshold * n) + l of each. Groups of documents send
+   theirs (the order is the hash, l a quarter of n); documents with too few of them shared
+   with other sets are left out. The sets of those that stay are stored.
 3. A linked set shares at least threshold * n shingles with other sets. All shingles of the
    documents left are counted alike, and documents with fewer shared ones go.
 4. Shingles met once come first in the order now, so the first ones that are shared are few.
@@ -39,10 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, fresh, quoted, table
+from .common import dealt, fresh, quoted, stored, table
 from .components import components
-from .packed import in_several, member, pack, pack_sorted, unpack, unpack_sorted
-from .suffixes import bucket_slices
+from .packed import bucket_slices, member, pack, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
 
 #: Words of a shingle; hundredths of the union that linked sets share.
 WORDS, THRESHOLD = 5, 75
@@ -85,6 +85,17 @@ def first_ones(n: int, threshold: int) -> int:
     return n - needed(n, threshold) + 1
 
 
+def head_common(n: int) -> int:
+    """How many common shingles the heads of linked sets are long enough to hold."""
+    return max(1, n // 4)
+
+
+def head(s: np.ndarray, threshold: int) -> np.ndarray:
+    """The first shingles, as 40-bit keys."""
+    n = len(s)
+    return np.unique(s[: n - needed(n, threshold) + head_common(n)] >> _HIGH)
+
+
 def linked(a: int, b: int, overlap: int, threshold: int) -> bool:
     return 100 * overlap >= threshold * (a + b - overlap)
 
@@ -94,59 +105,56 @@ def digest_of(s: np.ndarray) -> bytes:
 
 
 class Group:
-    """Distinct non-empty sets of a group of documents, each with its least id, in the order of their digests."""
+    """Distinct non-empty sets of a group of documents, each with its least id, in the order of their digests. Rows with an id in ``skip`` are left out."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], words: int):
-        least: dict[bytes, int] = {}
-        sets: dict[bytes, np.ndarray] = {}
+    def __init__(self, ids: list[int | None], texts: list[str | None], words: int, skip: set[int]):
+        sets: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, t in zip(ids, texts):
-            if i is None:
+            if i is None or i in skip:
                 continue
             s = shingles(t, words)
-            if not len(s):
-                continue
-            d = digest_of(s)
-            if i < least.setdefault(d, i):
-                least[d] = i
-            sets[d] = s
-        self.digests = sorted(sets)
-        self.sets = [sets[d] for d in self.digests]
-        self.ids = np.array([least[d] for d in self.digests], np.int64)
-        self.high = np.array([int.from_bytes(d[:8], "big") for d in self.digests], np.uint64)
-        self.low = np.array([int.from_bytes(d[8:], "big") for d in self.digests], np.uint64)
+            if len(s):
+                d = digest_of(s)
+                if d not in sets or i < sets[d][0]:
+                    sets[d] = i, s
+        self.sets = [sets[d][1] for d in sorted(sets)]
+        self.ids = np.array([sets[d][0] for d in sorted(sets)], np.int64)
+
+
+def range_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+
+
+class Keys:
+    """The 40-bit keys of several sets: ascending and distinct, and which of them several sets have."""
+
+    def __init__(self, parts: list[np.ndarray], buckets: int):
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        self.keys, self.several, self.buckets = every[new], np.diff(new, append=len(every)) > 1, buckets
 
-    def standing(self, answer: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Which sets' classes have their least id in this group."""
-        high, low, other = answer
-        losers = {(int(a), int(b)) for a, b, o in zip(high, low, other) if o}
-        return np.array([(int(a), int(b)) not in losers for a, b in zip(self.high, self.low)], bool)
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        return bucket_slices(range_of(self.keys, self.buckets)) if len(self.keys) else iter(())
 
+    def message(self, sender: int) -> pa.Table:
+        out = [(b, pack_sorted(self.keys[part]), pack_sorted(self.keys[part][self.several[part]])) for b, part in self.parts()]
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([sender] * len(out), pa.int64()), "a": pa.array([x[1] for x in out], pa.binary()), "b": pa.array([x[2] for x in out], pa.binary())})
 
-def range_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    top = keys >> np.uint64(bits - 32) if bits > 32 else keys
-    return (top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    def shared(self, answers: pa.Table) -> np.ndarray:
+        """The keys that the answers' bits mark."""
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        return np.concatenate([np.zeros(0, np.uint64), *(self.keys[part][unpack_bits(bits[b], part.stop - part.start)] for b, part in self.parts())])
 
 
-def short_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit keys of the sets, ascending and distinct, and those of several sets."""
-    parts = [np.unique(s >> _HIGH) for s in sets]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.unique(np.concatenate(parts)), in_several(parts)
+MESSAGE = "bucket long, sender long, a binary, b binary"
 
 
-def key_messages(sets: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    keys, several = short_keys(sets)
-    for b, part in bucket_slices(range_of(keys, 40, buckets)):
-        own = keys[part]
-        yield b, pack_sorted(own), pack_sorted(own[member(own, several)])
+def answer(t: pa.Table) -> pa.Table:
+    """To each sender's keys in a bucket, which of them another set has too."""
+    return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "bits": pa.array(shared_bits(t.column("a").to_pylist(), t.column("b").to_pylist()), pa.binary())})
 
 
-def shared_answers(messages: list[bytes], several: list[bytes]) -> list[bytes]:
-    """For each group's keys in a bucket, those that several sets have."""
-    own = [unpack_sorted(x) for x in messages]
-    shared = np.union1d(in_several(own), np.unique(np.concatenate([unpack_sorted(x) for x in several])))
-    return [pack_sorted(x[member(x, shared)]) for x in own]
+ANSWER = "receiver long, bucket long, bits binary"
 
 
 # T-occurrence search
@@ -163,19 +171,13 @@ class Search:
         key, self.postings = key[order], doc[order]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.keys, self.begin, self.end = key[cuts], cuts, np.append(cuts[1:], len(key)) if len(key) else cuts
-        self.parent = list(range(len(ids)))
-
-    def root(self, k: int) -> int:
-        while self.parent[k] != k:
-            self.parent[k] = self.parent[self.parent[k]]
-            k = self.parent[k]
-        return k
+        #: Of each document, the first of those that it is connected with. Ids ascend.
+        self.root = np.arange(len(ids))
 
     def connect(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
+        a, b = sorted((int(self.root[a]), int(self.root[b])))
         if a != b:
-            a, b = (a, b) if self.ids[a] < self.ids[b] else (b, a)
-            self.parent[b] = a
+            self.root[self.root == b] = a
 
     def lists(self, query: np.ndarray, open_docs: np.ndarray) -> list[np.ndarray]:
         """The query's inverted lists, of open documents only."""
@@ -224,11 +226,8 @@ class Search:
 
     def all_links(self) -> None:
         """Connect all linked documents. Each searches those after it that aren't connected with it yet."""
-        n = len(self.ids)
-        for q in range(n):
-            mine = self.root(q)
-            roots = np.fromiter((self.root(k) for k in range(n)), np.int64, n) if q else np.arange(n)
-            open_docs = self.fits(int(self.sizes[q])) & (roots != mine)
+        for q in range(len(self.ids)):
+            open_docs = self.fits(int(self.sizes[q])) & (self.root != self.root[q])
             open_docs[: q + 1] = False
             if open_docs.any():
                 for d in self.search(self.sets[q], int(self.sizes[q]), open_docs):
@@ -249,203 +248,178 @@ def _search_of(t: pa.Table, threshold: int) -> Search:
     return Search(np.array([ids[k] for k in order], np.int64), np.array([sizes[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order], threshold)
 
 
-def find_links(docs: DataFrame, ident: str, text: str, words: int = WORDS, threshold: int = THRESHOLD, group_bytes: int = GROUP_BYTES, task_docs: int = TASK_DOCS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(u, v): links that connect all classes of documents that links connect. Classes go by their least ids."""
-    group = fresh(docs.columns, "group")[0]
-    rows, total = dealt(docs, [ident, text], text, group, group_bytes)
-    buckets = int(min(max(8, total // group_bytes), 20_000))
-    id_at, text_at, group_at = (rows.columns.index(c) for c in (ident, text, group))
+def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORDS, threshold: int = THRESHOLD, task_docs: int = TASK_DOCS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """(u, v): links that connect all classes of documents that links connect.
 
-    def group_of(t: pa.Table) -> Group:
-        return Group(t.column(id_at).to_pylist(), t.column(text_at).to_pylist(), words)
+    rows: (doc_id, text, grp), dealt into groups. skip: (receiver, skipped), ids of group ``receiver`` for which another id stands.
+    """
 
     def number_of(*tables: pa.Table) -> int:
-        return next(t.column(at)[0].as_py() for t, at in zip(tables, (group_at, 0)) if t.num_rows)
-
-    def heads(sets: list[np.ndarray]) -> list[np.ndarray]:
-        return [s[: first_ones(len(s), threshold)] for s in sets]
-
-    def send_first(t: pa.Table) -> pa.Table:
-        """First shingles by hash, and the classes' digests."""
-        own = group_of(t)
-        out = [(0, b, x, y, None) for b, x, y in key_messages(heads(own.sets), buckets)]
-        for b, part in bucket_slices(range_of(own.high, 64, buckets)) if len(own.ids) else ():
-            out.append((1, b, pack(own.high[part]), pack(own.low[part]), pack(own.ids[part])))
-        n, g = len(out), number_of(t)
-        return pa.table({"kind": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int64()), "sender": pa.array([g] * n, pa.int64()), **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in ((2, "a"), (3, "b"), (4, "c"))}})
-
-    def answer_first(t: pa.Table) -> pa.Table:
-        senders, a, b, c = (t.column(k).to_pylist() for k in ("sender", "a", "b", "c"))
-        if t.column("kind")[0].as_py() == 0:
-            answers = [(g, 0, x, None, None) for g, x in zip(senders, shared_answers(a, b))]
-        else:
-            high, low, ids = ([unpack(x, kind) for x in col] for col, kind in ((a, np.uint64), (b, np.uint64), (c, np.int64)))
-            h, w, i = (np.concatenate(x) for x in (high, low, ids))
-            order = np.lexsort((i, w, h))
-            new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])))
-            least = np.empty(len(h), np.int64)
-            least[order] = i[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = np.split((i > least).astype(np.uint8), np.cumsum([len(x) for x in high])[:-1])
-            answers = [(g, 1, pack(x[k > 0]), pack(y[k > 0]), None) for g, x, y, k in zip(senders, high, low, later) if k.any()]
-        return answer_table(answers)
-
-    def answer_table(answers: list[tuple]) -> pa.Table:
-        return pa.table({"receiver": pa.array([x[0] for x in answers], pa.int64()), "kind": pa.array([x[1] for x in answers], pa.int32()), "a": pa.array([x[2] for x in answers], pa.binary()), "b": pa.array([x[3] for x in answers], pa.binary())})
-
-    def keys_of(t: pa.Table, kind: int) -> np.ndarray:
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in t.filter(pc.equal(t.column("kind"), kind)).column("a").to_pylist())]))
-
-    def left_after_first(own: Group, answers: pa.Table) -> np.ndarray:
-        """Sets whose class stands in this group and that share a first shingle."""
-        ones = answers.filter(pc.equal(answers.column("kind"), 1))
-        later = [np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64) for x in ones.column(c).to_pylist())]) for c in ("a", "b")]
-        stands, shared = own.standing((*later, np.ones(len(later[0]), bool))), keys_of(answers, 0)
-        return np.array([k for k in np.flatnonzero(stands) if member(own.sets[k][: first_ones(len(own.sets[k]), threshold)] >> _HIGH, shared).any()], np.int64)
-
-    def send_all(t: pa.Table, answers: pa.Table) -> pa.Table:
-        """All shingles of the documents left."""
-        own = group_of(t) if t.num_rows else Group([], [], words)
-        out = list(key_messages([own.sets[k] for k in left_after_first(own, answers)], buckets))
-        g = number_of(t, answers)
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), "a": pa.array([x[1] for x in out], pa.binary()), "b": pa.array([x[2] for x in out], pa.binary())})
-
-    def answer_all(t: pa.Table) -> pa.Table:
-        return answer_table([(g, 2, x, None) for g, x in zip(t.column("sender").to_pylist(), shared_answers(t.column("a").to_pylist(), t.column("b").to_pylist()))])
-
-    def left_after_all(own: Group, answers: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, its shared shingles) of those with enough of them."""
-        shared = keys_of(answers, 2)
-        for k in left_after_first(own, answers):
-            s = own.sets[k]
+        return next(t.column(name)[0].as_py() for t, name in zip(tables, ("grp" if "grp" in tables[0].column_names else "sender", "receiver")) if t.num_rows)
+
+    def group_of(t: pa.Table, messages: pa.Table) -> Group:
+        skipped = set(messages.column("skipped").drop_null().to_pylist())
+        return Group(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), words, skipped)
+
+    def heads_of(own: Group) -> list[np.ndarray]:
+        return [head(s, threshold) for s in own.sets]
+
+    def send_heads(t: pa.Table, messages: pa.Table) -> pa.Table:
+        return Keys(heads_of(group_of(t, messages)), buckets).message(number_of(t, messages))
+
+    def keep_left(t: pa.Table, messages: pa.Table) -> pa.Table:
+        """The sets of documents with enough of their heads shared."""
+        own = group_of(t, messages)
+        heads = heads_of(own)
+        shared = Keys(heads, buckets).shared(messages.filter(pc.is_valid(messages.column("bits"))))
+        left = [k for k, h in enumerate(heads) if member(h, shared).sum() >= min(head_common(needed(len(own.sets[k]), threshold)), len(h))]
+        return pa.table({"sender": pa.array([number_of(t, messages)] * len(left), pa.int64()), "doc": pa.array(own.ids[left]), "keys": pa.array([own.sets[k].tobytes() for k in left], pa.binary())})
+
+    def left_of(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Ids and sets, in a defined order."""
+        ids, raw = t.column("doc").to_pylist(), t.column("keys").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], raw[k]))
+        return np.array([ids[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order]
+
+    def keys_of(sets: list[np.ndarray]) -> Keys:
+        return Keys([np.unique(s >> _HIGH) for s in sets], buckets)
+
+    def send_all(t: pa.Table) -> pa.Table:
+        return keys_of(left_of(t)[1]).message(t.column("sender")[0].as_py())
+
+    def common_of(t: pa.Table, answers: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(id, size, shared shingles) of the sets with enough of them."""
+        ids, sets = left_of(t)
+        shared = keys_of(sets).shared(answers)
+        for i, s in zip(ids.tolist(), sets):
             common = s[member(s >> _HIGH, shared)]
             if len(common) >= needed(len(s), threshold):
-                yield k, common
+                yield i, len(s), common
 
     def send_rare(t: pa.Table, answers: pa.Table) -> pa.Table:
         """The shared ones among the first shingles, where those met once come first."""
-        own = group_of(t) if t.num_rows else Group([], [], words)
-        keys, ids, sizes = [], [], []
-        for k, common in left_after_all(own, answers):
-            n = len(own.sets[k])
-            head = np.unique(common[: first_ones(n, threshold) - (n - len(common))] >> _HIGH)
-            keys.append(head)
-            ids.append(np.full(len(head), own.ids[k]))
-            sizes.append(np.full(len(head), n))
-        key, i, n = (np.concatenate([np.zeros(0, kind), *x]).astype(kind) for x, kind in ((keys, np.uint64), (ids, np.int64), (sizes, np.int64)))
+        keys, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, n, common in common_of(t, answers):
+            first = np.unique(common[: first_ones(n, threshold) - (n - len(common))] >> _HIGH)
+            keys.append(first)
+            ids.append(np.full(len(first), i))
+            sizes.append(np.full(len(first), n))
+        key, i, n = map(np.concatenate, (keys, ids, sizes))
         order = np.argsort(key, kind="stable")
         key, i, n, g = key[order], i[order], n[order], number_of(t, answers)
-        out = [(b, pack_sorted(key[part]), pack(i[part]), pack(n[part])) for b, part in (bucket_slices(range_of(key, 40, buckets)) if len(key) else ())]
+        out = [(b, pack_sorted(key[part]), pack(i[part]), pack(n[part])) for b, part in (bucket_slices(range_of(key, buckets)) if len(key) else ())]
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in ((1, "a"), (2, "b"), (3, "c"))}})
 
     def choose_leaders(t: pa.Table) -> pa.Table:
-        """For each document and leader one row; shingles that no two documents of fitting sizes have lead nowhere."""
+        """To each group the leaders of its documents; shingles that no two documents of fitting sizes have lead nowhere."""
         parts = [[unpack_sorted(x) for x in t.column("a").to_pylist()], *([unpack(x, np.int64) for x in t.column(c).to_pylist()] for c in ("b", "c"))]
         key, doc, size = (np.concatenate(x) for x in parts)
         sender = np.repeat(np.array(t.column("sender").to_pylist(), np.int64), [len(x) for x in parts[0]])
         order = np.lexsort((size, key))
         key, doc, size, sender = key[order], doc[order], size[order], sender[order]
-        near = (key[1:] == key[:-1]) & (100 * size[:-1] >= threshold * size[1:]) & (doc[1:] != doc[:-1])
-        fits = np.zeros(len(key), bool)  # neighbours by size decide: if they don't fit, none does
+        # Neighbours by size decide: if they don't fit, none does. Rows with equal ids are several texts of one document.
+        near = (key[1:] == key[:-1]) & ((100 * size[:-1] >= threshold * size[1:]) | (doc[1:] == doc[:-1]))
+        fits = np.zeros(len(key), bool)
         fits[1:] |= near
         fits[:-1] |= near
-        same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])  # rows with equal ids, several texts
-        fits[1:] |= same
-        fits[:-1] |= same
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         leader = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(cuts, append=len(key)))
-        found = np.unique(np.stack((leader, doc, sender, size), 1)[fits], axis=0)
-        # The leader itself is missing where its own size fits nobody; others still gather under its id.
-        return pa.table({"leader": pa.array(found[:, 0]), "doc": pa.array(found[:, 1]), "receiver": pa.array(found[:, 2]), "size": pa.array(found[:, 3])})
+        found = np.unique(np.stack((sender, doc, leader, size), 1)[fits], axis=0)
+        out = [(int(found[part][0, 0]), pack(np.ascontiguousarray(found[part, 1:]).reshape(-1))) for _, part in bucket_slices(found[:, 0])] if len(found) else []
+        return pa.table({"receiver": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.binary())})
+
+    def list_leaders(t: pa.Table) -> pa.Table:
+        """(leader, doc, receiver, size), each once."""
+        found = np.unique(np.concatenate([unpack(x, np.int64) for x in t.column("found").to_pylist()]).reshape(-1, 3), axis=0)
+        return pa.table({"leader": pa.array(found[:, 1]), "doc": pa.array(found[:, 0]), "receiver": pa.array([t.column("receiver")[0].as_py()] * len(found), pa.int64()), "size": pa.array(found[:, 2])})
 
     def send_sets(t: pa.Table, messages: pa.Table) -> pa.Table:
         """Each document's shared shingles, to each of its tasks."""
-        own = group_of(t) if t.num_rows else Group([], [], words)
         asked = messages.filter(pc.is_valid(messages.column("leader")))
-        where: dict[int, list[tuple[int, int]]] = {}
-        for d, leader, task in zip(*(asked.column(c).to_pylist() for c in ("doc", "leader", "task"))):
-            where.setdefault(d, []).append((leader, task))
+        where: dict[int, list[tuple[int, int, int]]] = {}
+        for d, *task in zip(*(asked.column(c).to_pylist() for c in ("doc", "leader", "task", "tasks"))):
+            where.setdefault(d, []).append(tuple(task))
         out = []
         if where:
-            for k, common in left_after_all(own, messages.filter(pc.is_valid(messages.column("kind")))):
+            for i, n, common in common_of(t, messages.filter(pc.is_valid(messages.column("bits")))):
                 raw = common.tobytes()
-                out += [(leader, task, int(own.ids[k]), len(own.sets[k]), raw) for leader, task in where.get(int(own.ids[k]), ())]
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["leader", "task", "doc", "size", "keys"])
+                out += [(*task, i, n, raw) for task in where.get(i, ())]
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["leader", "task", "tasks", "doc", "size", "keys"])
 
     def search(t: pa.Table) -> pa.Table:
-        found = _search_of(t, threshold)
+        found = search_of(t)
         found.all_links()
-        roots = [found.root(k) for k in range(len(found.ids))]
-        u = [(int(found.ids[k]), int(found.ids[r])) for k, r in enumerate(roots) if found.ids[k] != found.ids[r]]
-        rest = []
-        if t.column("tasks")[0].as_py() > 1:
-            leader = t.column("leader")[0].as_py()
-            of_leader = {roots[k] for k in np.flatnonzero(found.ids == leader)}
-            rest = [(int(found.ids[k]), int(found.sizes[k]), found.sets[k].tobytes()) for k in range(len(roots)) if roots[k] not in of_leader]
-        return _links([x[0] for x in u], [x[1] for x in u], rest)
+        ids, roots = found.ids, found.root
+        leader, task, tasks = (t.column(c)[0].as_py() for c in ("leader", "task", "tasks"))
+        u = np.flatnonzero(ids != ids[roots])
+        rest = np.flatnonzero(~np.isin(roots, roots[ids == leader])) if tasks > 1 else np.zeros(0, np.int64)
+        n, m = len(u), len(rest)
+        return pa.table({
+            "u": pa.array([*ids[u].tolist(), *[None] * m], pa.int64()), "v": pa.array([*ids[roots[u]].tolist(), *[None] * m], pa.int64()),
+            "rest_id": pa.array([*[None] * n, *ids[rest].tolist()], pa.int64()), "rest_size": pa.array([*[None] * n, *found.sizes[rest].tolist()], pa.int64()), "rest_set": pa.array([*[None] * n, *(found.sets[k].tobytes() for k in rest)], pa.binary()),
+            "leader": pa.array([leader] * (n + m), pa.int64()), "tasks": pa.array([tasks] * (n + m), pa.int64()),
+        })
+
+    def search_of(t: pa.Table) -> Search:
+        ids, sizes, raw = (t.column(c).to_pylist() for c in ("doc", "size", "keys"))
+        order = sorted(dict(zip(zip(ids, raw), range(len(ids)))).values(), key=lambda k: (ids[k], raw[k]))
+        return Search(np.array([ids[k] for k in order], np.int64), np.array([sizes[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order], threshold)
 
     def search_rest(t: pa.Table, rest: pa.Table) -> pa.Table:
         u, v = [], []
         if t.num_rows and rest.num_rows:
-            found = _search_of(t, threshold)
+            found = search_of(t)
             for i, n, raw in zip(*(rest.column(c).to_pylist() for c in ("rest_id", "rest_size", "rest_set"))):
                 for d in found.search(np.frombuffer(raw, np.uint64), n, found.fits(n) & (found.ids != i)):
                     u.append(i)
                     v.append(int(found.ids[d]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    answer = "receiver long, kind int, a binary, b binary"
-    own = rows.groupBy(group)
-    first = own.applyInArrow(send_first, "kind int, bucket long, sender long, a binary, b binary, c binary").groupBy("kind", "bucket").applyInArrow(answer_first, answer)
-    every = own.cogroup(first.groupBy("receiver")).applyInArrow(send_all, "bucket long, sender long, a binary, b binary").groupBy("bucket").applyInArrow(answer_all, answer)
-    known = first.unionAll(every)
-    rare = own.cogroup(known.groupBy("receiver")).applyInArrow(send_rare, "bucket long, sender long, a binary, b binary, c binary")
-    led = rare.groupBy("bucket").applyInArrow(choose_leaders, "leader long, doc long, receiver long, size long").groupBy("leader", "doc", "receiver").agg(F.max("size").alias("size"))
-    sizes = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter("n > 1").select(F.col("leader").alias("of"), F.greatest(F.ceil(F.col("n") / task_docs), F.ceil(F.col("s") / task_shingles)).cast("long").alias("tasks"))
-    placed = led.join(sizes, F.col("leader") == F.col("of"))
-    spread = F.array(F.pmod(F.xxhash64("doc"), F.col("tasks")))
-    placed = placed.withColumn("task", F.explode(F.when(F.col("doc") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).otherwise(spread)))
     none = lambda kind: F.lit(None).cast(kind)
-    asked = placed.select("receiver", none("int").alias("kind"), none("binary").alias("a"), none("binary").alias("b"), "leader", "task", "doc")
-    messages = known.select("*", *[none("long").alias(c) for c in ("leader", "task", "doc")]).unionAll(asked)
-    sets = own.cogroup(messages.groupBy("receiver")).applyInArrow(send_sets, "leader long, task long, doc long, size long, keys binary")
-    large = sizes.filter("tasks > 1")
-    with_tasks = sets.join(large.select(F.col("of").alias("of_"), F.col("tasks").alias("tasks_")), F.col("leader") == F.col("of_"), "left").select("leader", "task", "doc", "size", "keys", F.coalesce("tasks_", F.lit(1)).cast("long").alias("tasks"))
-    return _links_of_tasks(with_tasks, search, search_rest)
-
-
-def _links_of_tasks(sets: DataFrame, search, search_rest) -> DataFrame:
-    tasked = sets.withColumn("tasks_of_leader", F.col("tasks"))
-
-    def first(t: pa.Table) -> pa.Table:
-        found = search(t)
-        n = found.num_rows
-        return found.append_column("leader", pa.array([t.column("leader")[0].as_py()] * n, pa.int64())).append_column("tasks", pa.array([t.column("tasks")[0].as_py()] * n, pa.int64()))
-
-    links = tasked.groupBy("leader", "task").applyInArrow(first, LINKS + ", leader long, tasks long")
-    rest = links.filter("rest_id is not null").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
-    more = tasked.filter("tasks > 1").groupBy("leader", "task").cogroup(rest.groupBy("leader", "task")).applyInArrow(search_rest, "u long, v long")
-    return links.filter("u is not null").select("u", "v").unionAll(more)
+    grouped = rows.groupBy("grp")
+    heads = grouped.cogroup(skip.groupBy("receiver")).applyInArrow(send_heads, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
+    messages = heads.select("*", none("long").alias("skipped")).unionAll(skip.select("receiver", none("long"), none("binary"), "skipped"))
+    left = stored(grouped.cogroup(messages.groupBy("receiver")).applyInArrow(keep_left, "sender long, doc long, keys binary"), "left").groupBy("sender")
+    answers = left.applyInArrow(send_all, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
+    rare = left.cogroup(answers.groupBy("receiver")).applyInArrow(send_rare, MESSAGE + ", c binary")
+    led = stored(rare.groupBy("bucket").applyInArrow(choose_leaders, "receiver long, found binary").groupBy("receiver").applyInArrow(list_leaders, "leader long, doc long, receiver long, size long"), "leaders")
+    sizes = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter("n > 1").select(F.col("leader").alias("of"), F.greatest(F.ceil(F.col("n") / task_docs), F.ceil(F.col("s") / task_shingles)).cast("long").alias("tasks"))
+    every, one = F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1), F.array(F.pmod(F.xxhash64("doc"), F.col("tasks")))
+    placed = led.join(sizes, F.col("leader") == F.col("of")).withColumn("task", F.explode(F.when(F.col("doc") == F.col("leader"), every).otherwise(one)))
+    asked = placed.select("receiver", none("long").alias("bucket"), none("binary").alias("bits"), "leader", "task", "tasks", "doc")
+    asked = answers.select("*", *[none("long").alias(c) for c in ("leader", "task", "tasks", "doc")]).unionAll(asked)
+    sets = left.cogroup(asked.groupBy("receiver")).applyInArrow(send_sets, "leader long, task long, tasks long, doc long, size long, keys binary")
+    links = stored(sets.groupBy("leader", "task").applyInArrow(search, "u long, v long, rest_id long, rest_size long, rest_set binary, leader long, tasks long"), "found")
+    rest = links.filter("rest_id is not null")
+    found = links.filter("u is not null").select("u", "v")
+    if rest.isEmpty():
+        return found
+    queries = rest.withColumn("task", F.explode(every))
+    return found.unionAll(sets.filter("tasks > 1").groupBy("leader", "task").cogroup(queries.groupBy("leader", "task")).applyInArrow(search_rest, "u long, v long"))
 
 
-def set_digests(docs: DataFrame, ident: str, text: str, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, digest) of every row; the digest of an empty set is null."""
+def set_digests(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, digest, grp) of every row of (doc_id, text, grp); the digest of an empty set is null."""
 
     def digests(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "digest", "grp"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(digests, "doc_id long, n_shingles long, digest binary")
+    return rows.mapInArrow(digests, "doc_id long, n_shingles long, digest binary, grp long")
 
 
-def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, **limits: int) -> DataFrame:
+def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, group_bytes: int = GROUP_BYTES, **limits: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    own = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    roots = components(find_links(own, "doc_id", "text", words, threshold, **limits))
-    base = set_digests(own, "doc_id", "text", words)
+    own = docs.select(quoted(ident).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    rows, total = dealt(own, ["doc_id", "text"], "text", "grp", group_bytes)
+    base = stored(set_digests(rows, words), "digests")
     classes = base.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of_digest"), "least")
-    classed = base.join(classes, F.col("digest") == F.col("of_digest"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"))
+    classed = base.join(classes, F.col("digest") == F.col("of_digest"), "left").select("doc_id", "n_shingles", "grp", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"))
+    classed = stored(classed, "classes")
+    skip = classed.filter("doc_id > least").select(F.col("grp").alias("receiver"), F.col("doc_id").alias("skipped"))
+    roots = components(find_links(rows, skip, int(min(max(8, total // group_bytes), 20_000)), words, threshold, **limits))
     return classed.join(roots, F.col("least") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "least").alias("component_id"))
 
 
