@@ -7,7 +7,7 @@ import os
 import re
 from typing import Protocol
 
-from ..errors import FILE_NOT_FOUND, PERMISSION_DENIED, FrameError
+from ..errors import BACKEND_ERROR, FILE_NOT_FOUND, PERMISSION_DENIED, FrameError
 
 _WILD = re.compile(r"[*?\[]")
 
@@ -84,7 +84,7 @@ def head(spark, path: str, size: int) -> str:
         if names and os.path.isdir(names[0]):
             names = sorted(os.path.join(d, f) for d, _, fs in os.walk(names[0]) for f in fs if not f.startswith(("_", ".")))
         if not names:
-            return ""
+            raise FrameError(BACKEND_ERROR, f"No file matches '{path}'.", path=path)
         with open(names[0], "rb") as f:
             return f.read(size).decode("utf-8", "ignore").removeprefix("﻿")
     lines, total = [], 0
