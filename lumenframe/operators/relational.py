@@ -117,9 +117,13 @@ def distinct(df: DataFrame, p: Request) -> tuple[DataFrame, list[str]]:
         return df.distinct(), []
     keys = [field(df, n)[1] for n in names]
     order = order_columns(df, entries, flip=last, with_nulls=False)
-    rank = hidden(df, "__rank")
-    window = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
-    out = df.withColumn(rank, F.row_number().over(window)).filter(quoted(rank) == 1).drop(rank).orderBy(*[k.asc_nulls_last() for k in keys])
+    if order:  # only the first row of each key in each partition is shuffled
+        rank = hidden(df, "__rank")
+        window = Window.partitionBy(*keys).orderBy(*order)
+        out = df.withColumn(rank, F.row_number().over(window)).filter(quoted(rank) == 1).drop(rank)
+    else:
+        out = df.dropDuplicates([field(df, n)[0] for n in names])
+    out = out.orderBy(*[k.asc_nulls_last() for k in keys])
     return out, [] if order else ["distinct on a column subset without 'order_by' is non-deterministic about which row is kept."]
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 import re
+from collections.abc import Iterator
 from typing import Protocol
 
 from ..errors import BACKEND_ERROR, FILE_NOT_FOUND, PERMISSION_DENIED, FrameError
@@ -77,20 +79,28 @@ def tree_size(path: str, suffix: str) -> int:
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(local(path)) for f in names if f.endswith(suffix))
 
 
+def _first_file(path: str) -> str:
+    names = sorted(glob.glob(local(path))) if is_glob(path) else [local(path)]
+    if names and os.path.isdir(names[0]):
+        names = sorted(os.path.join(d, f) for d, _, fs in os.walk(names[0]) for f in fs if not f.startswith(("_", ".")))
+    if not names:
+        raise FrameError(BACKEND_ERROR, f"No file matches '{path}'.", path=path)
+    return names[0]
+
+
+def lines(spark, path: str, most: int) -> Iterator[str]:
+    """The first lines of the first file, with their ends. Other stores' files are read by Spark itself."""
+    if is_remote(path):
+        for row in spark.read.text(path).limit(most).collect():
+            yield row[0] + "\n"
+        return
+    with open(_first_file(path), encoding="utf-8-sig", errors="replace", newline="") as f:
+        yield from itertools.islice(f, most)
+
+
 def head(spark, path: str, size: int) -> str:
-    """The first characters of the first file, read by Spark itself, so that any store will do."""
+    """The first characters of the first file."""
     if not is_remote(path):
-        names = sorted(glob.glob(local(path))) if is_glob(path) else [local(path)]
-        if names and os.path.isdir(names[0]):
-            names = sorted(os.path.join(d, f) for d, _, fs in os.walk(names[0]) for f in fs if not f.startswith(("_", ".")))
-        if not names:
-            raise FrameError(BACKEND_ERROR, f"No file matches '{path}'.", path=path)
-        with open(names[0], "rb") as f:
-            return f.read(size).decode("utf-8", "ignore").removeprefix("﻿")
-    lines, total = [], 0
-    for row in spark.read.text(path).limit(1000).collect():
-        lines.append(row[0])
-        total += len(row[0]) + 1
-        if total > size:
-            break
-    return "\n".join(lines)
+        with open(_first_file(path), "rb") as f:
+            return f.read(size).decode("utf-8", "ignore").removeprefix("\ufeff")
+    return "".join(lines(spark, path, 1_000))[:size]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import glob
 import io
 import json
 import os
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..functions.casts import cast
 from ..params import to_bool, to_int
 from ..schema import project, quoted, resolve
 from ..typenames import parse
-from .paths import canonical, head, is_glob, is_remote, local
+from .paths import canonical, head, is_glob, is_remote, lines, local
 
 DELIMITERS = (",", "\t", ";", "|")
 #: Characters of a CSV file that its dialect is guessed from; rows that types are inferred from.
@@ -84,13 +85,16 @@ def read_csv(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
     header = to_bool(p.get("header"))
     header = guess_header(sample, delimiter, quote) if header is None else header
     first = next(iter(_rows(sample, delimiter, quote)), [])
-    options = {"sep": delimiter, "quote": quote, "escape": quote, "header": header, "multiLine": any("\n" in x for r in _rows(sample, delimiter, quote) for x in r), "nullValue": p.get("null_string") or "", "encoding": "UTF-8"}
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "header": header, "multiLine": any("\n" in x for r in _rows(sample, delimiter, quote) for x in r), "nullValue": p.get("null_string") or "", "encoding": "UTF-8", "mode": "FAILFAST"}
     reader = spark.read.options(**options)
     names = [x if header and x else f"column{k}" for k, x in enumerate(first)]
     if not first:
         return spark.createDataFrame([], T.StructType([]))
-    texts = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-    inferred = _infer(texts, wanted, names)
+    if wanted == -1:
+        inferred = _infer_all(reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path), names)
+    else:
+        rows = csv.reader(lines(spark, path, (wanted or SAMPLE_ROWS) + header), delimiter=delimiter, quotechar=quote)
+        inferred = _infer_sample(rows, len(names), header, str(p.get("null_string") or ""))
     own = {resolve(k, names): parse(str(v)) for k, v in hints.items()}
     for n, kind in own.items():
         inferred[names.index(n)] = kind
@@ -98,14 +102,43 @@ def read_csv(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
     return project(typed, [(n, cast(quoted(n), T.StringType(), own[n]) if n in own else quoted(n)) for n in typed.columns])
 
 
-def _infer(texts: DataFrame, wanted: int | None, names: list[str]) -> list[T.DataType]:
-    """The narrowest type that all sampled values of each column fit, by one aggregation: BIGINT, DOUBLE, BOOLEAN, DATE, TIMESTAMP or text."""
-    limit = SAMPLE_ROWS if wanted is None else wanted
-    rows = texts if limit == -1 else texts.limit(limit)
-    tests = [(T.LongType(), lambda c: c.try_cast("bigint").isNotNull() & ~c.rlike(r"[.eE]")), (T.DoubleType(), lambda c: c.try_cast("double").isNotNull() & ~c.rlike("[dDfF]$")), (T.BooleanType(), lambda c: F.lower(c).isin("true", "false")), (T.DateType(), lambda c: c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & c.try_cast("date").isNotNull()), (T.TimestampNTZType(), lambda c: c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d") & c.try_cast("timestamp_ntz").isNotNull())]
-    cells = [F.count_if(quoted(n).isNotNull() & ~test(F.trim(quoted(n)))).alias(f"x{i}_{k}") for i, n in enumerate(names) for k, (_, test) in enumerate(tests)]
-    found = rows.agg(*[F.count(quoted(n)).alias(f"n{i}") for i, n in enumerate(names)], *cells).first()
-    return [next((kind for k, (kind, _) in enumerate(tests) if found[f"n{i}"] and not found[f"x{i}_{k}"]), T.StringType()) for i in range(len(names))]
+#: From narrow to wide: type, pattern of its texts, and a further test.
+_SHAPES: list[tuple[T.DataType, str, Callable[[str], Any]]] = [
+    (T.LongType(), r"[+-]?[0-9]{1,19}", lambda x: -(2**63) <= int(x) < 2**63),
+    (T.DoubleType(), r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", lambda x: True),
+    (T.BooleanType(), r"(?i)true|false", lambda x: True),
+    (T.DateType(), r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", lambda x: dt.date(*map(int, x.split("-")))),
+    (T.TimestampNTZType(), r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?", lambda x: dt.date(*map(int, re.split("[ T]", x)[0].split("-")))),
+]
+
+
+def _fits(x: str, pattern: re.Pattern, test: Callable[[str], Any]) -> bool:
+    try:
+        return pattern.fullmatch(x) is not None and bool(test(x))
+    except ValueError:
+        return False
+
+
+def _infer_sample(rows: Iterable[list[str]], width: int, header: bool, null: str) -> list[T.DataType]:
+    """The narrowest type that all sampled values of each column fit, else text. The sample is bounded, so the driver looks at it."""
+    shapes = [(re.compile(p), test) for _, p, test in _SHAPES]
+    open_shapes, seen = [set(range(len(shapes))) for _ in range(width)], [False] * width
+    for k, row in enumerate(rows):
+        if header and k == 0:
+            continue
+        for i, x in enumerate(row[:width]):
+            x = x.strip()
+            if x and x != null:
+                seen[i] = True
+                open_shapes[i] = {s for s in open_shapes[i] if _fits(x, *shapes[s])} if open_shapes[i] else open_shapes[i]
+    return [_SHAPES[min(o)][0] if o and s else T.StringType() for o, s in zip(open_shapes, seen)]
+
+
+def _infer_all(texts: DataFrame, names: list[str]) -> list[T.DataType]:
+    """As _infer_sample, of all rows, by one aggregation."""
+    cells = [F.count_if(quoted(n).isNotNull() & ~(F.trim(quoted(n)).rlike(f"^({p})$") & F.trim(quoted(n)).try_cast(kind).isNotNull())).alias(f"x{i}_{k}") for i, n in enumerate(names) for k, (kind, p, _) in enumerate(_SHAPES)]
+    found = texts.agg(*[F.count(quoted(n)).alias(f"n{i}") for i, n in enumerate(names)], *cells).first()
+    return [next((kind for k, (kind, *_) in enumerate(_SHAPES) if found[f"n{i}"] and not found[f"x{i}_{k}"]), T.StringType()) for i in range(len(names))]
 
 
 def read_json(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
