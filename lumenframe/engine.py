@@ -237,8 +237,7 @@ def _schema(call: Call) -> Response:
 def _profile(call: Call) -> Response:
     entry = call.dataset()
     rows = quality.profile(entry.frame, call.params)
-    kinds = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE"}
-    schema = [ColumnSchema(k, kinds.get(type(v), "VARCHAR")) for k, v in (rows[0] if rows else {}).items()]
+    schema = [ColumnSchema(k, quality.profile_type(k, rows[0])) for k in (rows[0] if rows else ())]
     return Response.ok(entry.id, schema, len(rows), rows[:PREVIEW_ROWS], call.stats(len(rows)), call.warnings)
 
 
@@ -307,8 +306,8 @@ def _union(call: Call) -> Response:
 
 @operation("list", "Lists the session's datasets.")
 def _list(call: Call) -> Response:
-    rows = [{"dataset_id": e.id, "source": e.source, "row_count": e.row_count, "columns": len(e.frame.columns)} for e in call.engine.catalog]
-    schema = [ColumnSchema("dataset_id", "VARCHAR"), ColumnSchema("source", "VARCHAR"), ColumnSchema("row_count", "BIGINT"), ColumnSchema("columns", "BIGINT")]
+    rows = [{"dataset_id": e.id, "row_count": e.row_count, "column_count": len(e.frame.columns), "source": e.source} for e in call.engine.catalog]
+    schema = [ColumnSchema("dataset_id", "VARCHAR", False), ColumnSchema("row_count", "BIGINT"), ColumnSchema("column_count", "BIGINT", False), ColumnSchema("source", "VARCHAR", False)]
     return Response.ok("session", schema, len(rows), rows, call.stats(len(rows)), call.warnings)
 
 

@@ -55,6 +55,17 @@ def profile(df: DataFrame, p: Mapping[str, Any]) -> list[dict[str, Any]]:
     return out
 
 
+def profile_type(name: str, row: Mapping[str, Any]) -> str:
+    """Type name of a profile's column, as the first profiled column decides it."""
+    if name in ("column", "type"):
+        return "VARCHAR"
+    if name in ("null_count", "distinct_count", "count"):
+        return "BIGINT"
+    own = row["type"]
+    numeric = own.startswith("DECIMAL") or own in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "FLOAT", "DOUBLE")
+    return own if name in ("min", "max") and not numeric else "DOUBLE"
+
+
 REPORT_COLUMNS = (("expectation", "VARCHAR"), ("column", "VARCHAR"), ("passed", "BOOLEAN"), ("violations", "BIGINT"), ("details", "VARCHAR"))
 
 
