@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import INVALID_ARGUMENT, FrameError
 from ..params import text, text_list
@@ -64,8 +65,8 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], op: st
     """For each left row the nearest right row at or before its time (>=), or at or after it (<=); rows without one go.
 
     Both sides are merged by time and the last right row is carried along, so there is one
-    sort by key and time and no pairwise comparison. Without equality keys all rows meet in
-    one partition, as the question is about one sequence.
+    sort by key and time and no pairwise comparison. Without equality keys the one sequence
+    is cut into stretches of time, each of which is given the last right row before it.
     """
     if op not in (">=", "<="):
         raise FrameError(INVALID_ARGUMENT, "'asof_op' must be '>=' or '<='.")
@@ -76,11 +77,52 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], op: st
     l_side = left.select(*[quoted(a).cast(k).alias(n) for (a, _), k, n in zip(keys, kinds, names)], F.lit(1).alias("side"), l_row.alias("l"), F.lit(None).cast(r_type).alias("r"))
     r_side = right.select(*[quoted(b).cast(k).alias(n) for (_, b), k, n in zip(keys, kinds, names)], F.lit(0).alias("side"), F.lit(None).cast(l_type).alias("l"), r_row.alias("r"))
     known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-    time = F.col(names[-1])
-    order = [time.asc() if op == ">=" else time.desc(), F.col("side").asc(), F.col("r").asc()]
-    window = Window.partitionBy(*names[:-1]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = l_side.unionAll(r_side).filter(known).withColumn("match", F.last("r", ignorenulls=True).over(window))
+    merged = l_side.unionAll(r_side).filter(known)
+    position = _position(F.col(names[-1]), kinds[-1], op)
+    parts, order = names[:-1], [F.col("at").asc(), F.col("side").asc(), F.col("r").asc()]
+    if position is None:  # texts and the like: no distances, so no splits
+        merged = merged.withColumn("at", F.col(names[-1]))
+        order[0] = F.col("at").asc() if op == ">=" else F.col("at").desc()
+    else:
+        merged = merged.withColumn("at", position)
+    if position is not None and not parts:
+        merged = _split(merged)
+        parts = ["split"]
+    else:
+        merged = merged.withColumn("before", F.lit(None).cast(r_type))
+    window = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = merged.withColumn("match", F.coalesce(F.last("r", ignorenulls=True).over(window), F.col("before")))
     found = merged.filter(F.col("l").isNotNull() & F.col("match").isNotNull())
     columns = [(c, F.col("l")[c]) for c in left.columns]
     columns += [(n, F.col("match")[c]) for c, n in _right_names(left, right, {b.lower() for _, b in keys}, suffix)]
     return project(found, columns)
+
+
+#: Stretches of time that a sequence without equality keys is cut into.
+STRETCHES = 64
+
+
+def _position(t: Column, kind: T.DataType, op: str) -> Column | None:
+    """Times and numbers on a line along which right rows are carried; None for other types."""
+    if isinstance(kind, T.TimestampNTZType):
+        at = F.unix_micros(t.cast("timestamp"))
+    elif isinstance(kind, T.TimestampType):
+        at = F.unix_micros(t)
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(t)
+    elif isinstance(kind, T.NumericType):
+        at = t
+    else:
+        return None
+    return at if op == ">=" else -at
+
+
+def _split(merged: DataFrame) -> DataFrame:
+    """Rows with their stretch and, as ``before``, the last right row of the stretches before it."""
+    cuts = merged.agg(F.percentile_approx("at", [k / STRETCHES for k in range(1, STRETCHES)])).first()[0] or []
+    split = reduce(lambda a, b: a + b, [(F.col("at") >= F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
+    merged = merged.withColumn("split", split)
+    last = merged.groupBy("split").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct("at", "r"))).alias("last"))
+    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch
+    before = last.select("split", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    return merged.join(F.broadcast(before), "split")

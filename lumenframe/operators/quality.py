@@ -25,7 +25,42 @@ def short_number(x: float) -> str:
     return str(int(x)) if x == int(x) else repr(x)
 
 
-def profile(df: DataFrame, p: Mapping[str, Any]) -> list[dict[str, Any]]:
+#: Up to so many rows exact quantiles are taken in memory; beyond, between bounds that an approximation gives.
+ROWS_IN_MEMORY = 20_000_000
+ACCURACY = 20_000
+
+
+def bounded_quantiles(df: DataFrame, names: Sequence[str], quantiles: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of columns with very many values, in two passes over all of them.
+
+    The first pass finds values that surely lie below and above each wanted rank; the second
+    counts what lies below the lower one and gathers the few values between the two.
+    """
+    x = {n: quoted(n).cast("double") for n in names}
+    slack = 2 / ACCURACY
+    wanted = [F.lit(min(1.0, max(0.0, q + s))) for q in quantiles for s in (-slack, slack)]
+    first = df.agg(*[g.alias(f"{k}{i}") for i, n in enumerate(names) for k, g in (("n", F.count(x[n])), ("b", F.percentile_approx(x[n], F.array(*wanted), ACCURACY)))]).first()
+    cells = []
+    for i, n in enumerate(names):
+        for j in range(len(quantiles) if first[f"n{i}"] else 0):
+            low, high = first[f"b{i}"][2 * j : 2 * j + 2]
+            cells += [F.count_if(x[n] < low).alias(f"c{i}_{j}"), F.collect_list(F.when((x[n] >= low) & (x[n] <= high), x[n])).alias(f"v{i}_{j}")]
+    second = df.agg(*cells).first() if cells else {}
+    out: dict[str, list[float | None]] = {}
+    for i, n in enumerate(names):
+        out[n] = []
+        for j, q in enumerate(quantiles):
+            if not first[f"n{i}"]:
+                out[n].append(None)
+                continue
+            rank = q * (first[f"n{i}"] - 1)
+            at, values = int(rank) - second[f"c{i}_{j}"], sorted(second[f"v{i}_{j}"])
+            a, b = values[at], values[min(at + 1, len(values) - 1)]
+            out[n].append(a + (rank - int(rank)) * (b - a) if rank != int(rank) else a)
+    return out
+
+
+def profile(df: DataFrame, p: Mapping[str, Any], rows_in_memory: int = ROWS_IN_MEMORY) -> list[dict[str, Any]]:
     """A row of statistics for each column, from one aggregation over all of them."""
     names = [resolve(c, df.columns) for c in text_list("columns", p.get("columns"))] or df.columns
     quantiles = []
@@ -35,6 +70,8 @@ def profile(df: DataFrame, p: Mapping[str, Any]) -> list[dict[str, Any]]:
             raise FrameError(INVALID_ARGUMENT, f"Quantile '{s}' must be a number in [0, 1].")
         quantiles.append(q)
     quantiles = quantiles or list(QUANTILES)
+    numeric = [n for n in names if is_numeric(df.schema[n].dataType)]
+    far = bool(numeric) and df.count() > rows_in_memory
     exprs = [F.count("*").alias("rows")]
     for k, n in enumerate(names):
         c, kind = quoted(n), df.schema[n].dataType
@@ -44,8 +81,12 @@ def profile(df: DataFrame, p: Mapping[str, Any]) -> list[dict[str, Any]]:
             exprs += [F.min(c).alias(f"lo{k}"), F.max(c).alias(f"hi{k}")]
         if is_numeric(kind):
             x = c.cast("double")
-            exprs += [F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"std{k}"), F.percentile(x, F.array(*[F.lit(q) for q in quantiles])).alias(f"q{k}")]
+            exprs += [F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"std{k}")]
+            if not far:
+                exprs.append(F.percentile(x, F.array(*[F.lit(q) for q in quantiles])).alias(f"q{k}"))
     found = df.agg(*exprs).first().asDict()
+    if far:
+        found |= {f"q{names.index(n)}": v for n, v in bounded_quantiles(df, numeric, quantiles).items()}
     out = []
     for k, n in enumerate(names):
         row = {"column": n, "type": render(df.schema[n].dataType), "null_count": found["rows"] - found[f"n{k}"], "distinct_count": found[f"d{k}"], "count": found[f"n{k}"], "mean": found.get(f"mean{k}"), "std": found.get(f"std{k}"), "min": plain(found.get(f"lo{k}")), "max": plain(found.get(f"hi{k}"))}
