@@ -12,7 +12,8 @@ Two sets link if 100 * intersection >= threshold * union. Everything below is ex
    documents left are counted alike, and documents with fewer shared ones go.
 4. Shingles met once come first in the order now, so the first ones that are shared are few.
    Each of them has a leader, the least document that has it among its first ones, and each
-   document goes to all its leaders: every pair to be tested meets at one.
+   document goes to all its leaders: every pair to be tested meets at one. A group names each
+   shingle once, so a very common one gathers a row for each group, not for each document.
 5. A leader's documents are searched by DivideSkip over inverted lists: the long lists are
    put aside, the short ones heap-merged, and what may still reach the needed overlap is
    probed in the long ones. Pairs that earlier links connect are not searched.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, fresh, quoted, stored, table
 from .components import components
-from .packed import bucket_slices, member, pack, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
+from .packed import bucket_slices, member, pack, pack_bits, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
 
 #: Words of a shingle; hundredths of the union that linked sets share.
 WORDS, THRESHOLD = 5, 75
@@ -51,6 +52,8 @@ TASK_DOCS, TASK_SHINGLES = 4_000, 4_000_000
 GROUP_BYTES = 4 << 20
 #: Weight of DivideSkip's rule for the number of long lists.
 SKIP_WEIGHT = 0.0085
+#: In place of a leader.
+NONE = np.iinfo(np.int64).max
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(24)
 
@@ -296,8 +299,8 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
             if len(common) >= needed(len(s), threshold):
                 yield i, len(s), common
 
-    def send_rare(t: pa.Table, answers: pa.Table) -> pa.Table:
-        """The shared ones among the first shingles, where those met once come first."""
+    def rare_of(t: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, ids, sizes): the shared ones among the first shingles of each set, where those met once come first. Keys ascend."""
         keys, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, n, common in common_of(t, answers):
             first = np.unique(common[: first_ones(n, threshold) - (n - len(common))] >> _HIGH)
@@ -305,33 +308,42 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
             ids.append(np.full(len(first), i))
             sizes.append(np.full(len(first), n))
         key, i, n = map(np.concatenate, (keys, ids, sizes))
-        order = np.argsort(key, kind="stable")
-        key, i, n, g = key[order], i[order], n[order], number_of(t, answers)
-        out = [(b, pack_sorted(key[part]), pack(i[part]), pack(n[part])) for b, part in (bucket_slices(range_of(key, buckets)) if len(key) else ())]
+        order = np.lexsort((i, key))
+        return key[order], i[order], n[order]
+
+    def send_rare(t: pa.Table, answers: pa.Table) -> pa.Table:
+        """Each key once for the group, with its least id and whether several sets have it."""
+        key, i, _ = rare_of(t, answers)
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        several, key, i, g = np.diff(new, append=len(key)) > 1, key[new], i[new], number_of(t, answers)
+        out = [(b, pack_sorted(key[part]), pack(i[part]), pack_bits(several[part])) for b, part in (bucket_slices(range_of(key, buckets)) if len(key) else ())]
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in ((1, "a"), (2, "b"), (3, "c"))}})
 
     def choose_leaders(t: pa.Table) -> pa.Table:
-        """To each group the leaders of its documents; shingles that no two documents of fitting sizes have lead nowhere."""
-        parts = [[unpack_sorted(x) for x in t.column("a").to_pylist()], *([unpack(x, np.int64) for x in t.column(c).to_pylist()] for c in ("b", "c"))]
-        key, doc, size = (np.concatenate(x) for x in parts)
-        sender = np.repeat(np.array(t.column("sender").to_pylist(), np.int64), [len(x) for x in parts[0]])
-        order = np.lexsort((size, key))
-        key, doc, size, sender = key[order], doc[order], size[order], sender[order]
-        # Neighbours by size decide: if they don't fit, none does. Rows with equal ids are several texts of one document.
-        near = (key[1:] == key[:-1]) & ((100 * size[:-1] >= threshold * size[1:]) | (doc[1:] == doc[:-1]))
-        fits = np.zeros(len(key), bool)
-        fits[1:] |= near
-        fits[:-1] |= near
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        leader = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(cuts, append=len(key)))
-        found = np.unique(np.stack((sender, doc, leader, size), 1)[fits], axis=0)
-        out = [(int(found[part][0, 0]), pack(np.ascontiguousarray(found[part, 1:]).reshape(-1))) for _, part in bucket_slices(found[:, 0])] if len(found) else []
-        return pa.table({"receiver": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.binary())})
-
-    def list_leaders(t: pa.Table) -> pa.Table:
-        """(leader, doc, receiver, size), each once."""
-        found = np.unique(np.concatenate([unpack(x, np.int64) for x in t.column("found").to_pylist()]).reshape(-1, 3), axis=0)
-        return pa.table({"leader": pa.array(found[:, 1]), "doc": pa.array(found[:, 0]), "receiver": pa.array([t.column("receiver")[0].as_py()] * len(found), pa.int64()), "size": pa.array(found[:, 2])})
+        """To each group its keys' leaders, the least ids that have them; none (the highest number) where one set only has the key."""
+        keys, ids = [unpack_sorted(x) for x in t.column("a").to_pylist()], [unpack(x, np.int64) for x in t.column("b").to_pylist()]
+        several = np.concatenate([unpack_bits(x, len(k)) for x, k in zip(t.column("c").to_pylist(), keys)])
+        key, i = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        count = np.diff(cuts, append=len(key))
+        met = (count > 1) | np.logical_or.reduceat(several[order], cuts)
+        leader = np.empty(len(key), np.int64)
+        leader[order] = np.repeat(np.where(met, np.minimum.reduceat(i[order], cuts), NONE), count)
+        parts = np.split(leader, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "leaders": pa.array([pack(x) for x in parts], pa.binary())})
+
+    def list_leaders(t: pa.Table, messages: pa.Table) -> pa.Table:
+        """(leader, doc, receiver, size), each once, of a group's documents."""
+        found = np.zeros((0, 3), np.int64)
+        if t.num_rows:
+            key, i, n = rare_of(t, messages.filter(pc.is_valid(messages.column("bits"))))
+            distinct, of = np.unique(key, return_inverse=True)
+            told = messages.filter(pc.is_valid(messages.column("leaders"))).sort_by("bucket")  # buckets and keys ascend alike
+            leader = np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.int64) for x in told.column("leaders").to_pylist())])[of]
+            assert len(leader) == len(key) and len(distinct) <= len(key)
+            found = np.unique(np.stack((leader, i, n), 1)[leader != NONE], axis=0)
+        return pa.table({"leader": pa.array(found[:, 0]), "doc": pa.array(found[:, 1]), "receiver": pa.array([number_of(t, messages)] * len(found), pa.int64()), "size": pa.array(found[:, 2])})
 
     def send_sets(t: pa.Table, messages: pa.Table) -> pa.Table:
         """Each document's shared shingles, to each of its tasks."""
@@ -383,7 +395,9 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
     left = stored(grouped.cogroup(messages.groupBy("receiver")).applyInArrow(keep_left, "sender long, doc long, keys binary"), "left").groupBy("sender")
     answers = left.applyInArrow(send_all, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
     rare = left.cogroup(answers.groupBy("receiver")).applyInArrow(send_rare, MESSAGE + ", c binary")
-    led = stored(rare.groupBy("bucket").applyInArrow(choose_leaders, "receiver long, found binary").groupBy("receiver").applyInArrow(list_leaders, "leader long, doc long, receiver long, size long"), "leaders")
+    told = rare.groupBy("bucket").applyInArrow(choose_leaders, "receiver long, bucket long, leaders binary")
+    messages = answers.select("*", none("binary").alias("leaders")).unionAll(told.select("receiver", "bucket", none("binary"), "leaders"))
+    led = stored(left.cogroup(messages.groupBy("receiver")).applyInArrow(list_leaders, "leader long, doc long, receiver long, size long"), "leaders")
     sizes = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter("n > 1").select(F.col("leader").alias("of"), F.greatest(F.ceil(F.col("n") / task_docs), F.ceil(F.col("s") / task_shingles)).cast("long").alias("tasks"))
     every, one = F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1), F.array(F.pmod(F.xxhash64("doc"), F.col("tasks")))
     placed = led.join(sizes, F.col("leader") == F.col("of")).withColumn("task", F.explode(F.when(F.col("doc") == F.col("leader"), every).otherwise(one)))
