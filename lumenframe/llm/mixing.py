@@ -40,8 +40,8 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(1.0)))
 
 
-def source_rates(df: DataFrame, source: str, weights: dict | None = None, temperature: float = 0.5, target_rows: int | None = None) -> DataFrame:
-    """A row for each source: its rows ``n``, target share ``weight`` and ``rate``. Without weights, shares go as n to the power temperature."""
+def source_rates(df: DataFrame, source: str, weights: dict | None = None, temperature: float = 0.5, target_rows: int | None = None) -> tuple[DataFrame, int]:
+    """A row for each source: its rows ``n``, target share ``weight`` and ``rate``; and how many sources there are. Without weights, shares go as n to the power temperature."""
     counts = df.groupBy(quoted(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         raw = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
@@ -51,24 +51,26 @@ def source_rates(df: DataFrame, source: str, weights: dict | None = None, temper
         for name, w in weights.items():
             raw = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(w / total)).otherwise(raw)
     counts = counts.withColumn("raw", raw)
-    sums = counts.agg(F.sum("raw").alias("raws"), F.sum("n").alias("rows"))
-    target = F.lit(float(target_rows)) if target_rows is not None else F.col("rows").cast("double")
-    weight = F.when(F.col("raws") > 0, F.col("raw") / F.col("raws")).otherwise(0.0)
-    return counts.crossJoin(F.broadcast(sums)).select("source", "n", weight.alias("weight"), (weight * target / F.col("n")).alias("rate"))  # sums: one row
+    raws, rows, sources = counts.agg(F.sum("raw"), F.sum("n"), F.count("*")).first()
+    target = float(target_rows if target_rows is not None else rows or 0)
+    weight = F.col("raw") / F.lit(float(raws)) if raws else F.lit(0.0)
+    return counts.select("source", "n", weight.alias("weight"), (weight * target / F.col("n")).alias("rate")), sources
 
 
 def mix_sources(df: DataFrame, source: str, keys: list[str], weights: dict | None = None, temperature: float = 0.5, target_rows: int | None = None, seed: int = 0, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The rows, each as often as its Poisson count says, in shuffled order, with ``copy`` (from 1) and ``shuffle_key`` (rows of a partition ascend by it)."""
     copy, order = fresh(df.columns, "copy", "shuffle_key")
     own_source, own_cdf, own_salt = fresh([*df.columns, copy, order], "source_of_rate", "cdf", "salt")
-    rates = source_rates(df, source, weights, temperature, target_rows).select(F.col("source").alias(own_source), poisson_cdf(F.col("rate")).alias(own_cdf))
+    table_of_rates, sources = source_rates(df, source, weights, temperature, target_rows)
+    rates = table_of_rates.select(F.col("source").alias(own_source), poisson_cdf(F.col("rate")).alias(own_cdf))
     matched = quoted(source).eqNullSafe(quoted(own_source))
-    if df.select(source).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources:
+    if sources <= broadcast_sources:
         joined = df.join(F.broadcast(rates), matched)
     else:
         salted = rates.withColumn(own_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("salt_of_row_", F.pmod(F.xxhash64(*[quoted(k) for k in keys]), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, matched & (joined["salt_of_row_"] == salted[own_salt]))
+        row_salt = fresh([*df.columns, own_source, own_cdf, own_salt], "row_salt")[0]
+        joined = df.withColumn(row_salt, F.pmod(F.xxhash64(*[quoted(k) for k in keys]), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, matched & (quoted(row_salt) == quoted(own_salt)))
     u = unit_hash(seed, *[quoted(k) for k in keys])
     count = F.size(F.filter(quoted(own_cdf), lambda p: p <= u))
     columns = [quoted(c) for c in df.columns]
