@@ -134,6 +134,7 @@ class Engine:
                     context.cancelJobsWithTag(tag)
 
         context.addJobTag(tag)
+        context.setJobDescription(op_id)
         watcher = threading.Thread(target=watch, daemon=True) if options.max_execution_time_ms or asked is not None else None
         if watcher:
             watcher.start()
@@ -146,6 +147,7 @@ class Engine:
             if watcher:
                 watcher.join()
             context.removeJobTag(tag)
+            context.setJobDescription(None)
 
     def cut(self, source_ids: Sequence[str], target: str, frame: DataFrame) -> DataFrame:
         steps = 1 + max([self._steps.get(s, 0) for s in source_ids], default=0)
