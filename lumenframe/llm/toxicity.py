@@ -1,8 +1,9 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-A toxic and an ordinary model are counted from labelled rows. Both back off from bigrams to
-their own continuation counts, and these to one distribution that the classes share: word
-counts over the whole corpus. Rare expressions thus weigh alike in both. A text's evidence
+A toxic and an ordinary model are counted from labelled rows. Both back off from their bigrams
+to bigrams of both classes together, then to their own continuation counts, and these to one
+distribution that the classes share: word counts over the whole corpus. Rare expressions thus
+weigh alike in both. A text's evidence
 is the difference of the length-normalised log-likelihoods, over the whole text and over its
 most toxic expression; a logistic curve, fitted on labelled rows kept from the counts, maps both
 to a probability.
@@ -115,6 +116,13 @@ def backoff(model_size: int, corpus: np.ndarray, discount: float) -> np.ndarray:
     return np.maximum(corpus - discount, 0) / total + np.minimum(corpus, discount).sum() / total / model_size
 
 
+def discounted(counts: np.ndarray, context: np.ndarray, size: int, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts less the discount; each context's mass, and the share of it that the discounts take (all of it where nothing was seen)."""
+    mass = np.bincount(context, weights=counts, minlength=size)
+    taken = np.bincount(context, weights=np.minimum(counts, discount), minlength=size)
+    return np.maximum(counts - discount, 0), mass, np.where(mass > 0, taken / np.maximum(mass, 1), 1.0)
+
+
 def learn_pair(vocabulary: list[bytes], seen: list[tuple[np.ndarray, np.ndarray]], corpus: np.ndarray, discount: float) -> KneserNeyPair:
     """seen: class_counts() of the toxic and of the ordinary texts."""
     size = len(vocabulary) + 2
@@ -122,21 +130,21 @@ def learn_pair(vocabulary: list[bytes], seen: list[tuple[np.ndarray, np.ndarray]
     shared, logs = backoff(size, corpus, discount), []
     union = np.union1d(seen[0][0], seen[1][0])
     v, w = union // size, union % size
-    for keys, n in seen:
-        types = np.bincount(keys % size, minlength=size).astype(float)  # continuation: distinct words before
+    own = np.zeros((2, len(union)))
+    for k, (keys, n) in enumerate(seen):
+        own[k, np.searchsorted(union, keys)] = n
+    pooled, pooled_mass, pooled_weight = discounted(own.sum(0), v, size, discount)
+    for counts in own:
+        there = counts > 0
+        types = np.bincount(w[there], minlength=size).astype(float)  # continuation: distinct words before
         total = max(1.0, types.sum())
-        word = np.maximum(types - discount, 0) / total + (np.minimum(types, discount).sum() / total if len(keys) else 1.0) * shared
-        mass = np.bincount(keys // size, weights=n, minlength=size)
-        weight = np.where(mass > 0, discount * np.bincount(keys // size, minlength=size) / np.maximum(mass, 1), 1.0)
-        own = np.zeros(len(union))
-        own[np.searchsorted(union, keys)] = n
-        pair = np.maximum(own - discount, 0) / np.maximum(mass[v], 1) + weight[v] * word[w]
-        logs.append((np.log(word), np.log(weight), np.log(pair)))
+        word = np.maximum(types - discount, 0) / total + (np.minimum(types, discount).sum() / total if there.any() else 1.0) * shared
+        part, mass, weight = discounted(counts, v, size, discount)
+        below = pooled / np.maximum(pooled_mass[v], 1) + pooled_weight[v] * word[w]
+        logs.append((np.log(word), np.log(weight), np.log(part / np.maximum(mass[v], 1) + weight[v] * below)))
     model.word, model.context = logs[0][0] - logs[1][0], logs[0][1] - logs[1][1]
     difference = logs[0][2] - logs[1][2]
-    often = np.zeros(len(union), bool)
-    for keys, n in seen:
-        often[np.searchsorted(union, keys[n > 1])] = True
+    often = own.max(0) > 1
     model.bigrams, model.bigram = union[often], difference[often]  # bigrams seen once back off, as is usual for a cutoff
     return model
 
