@@ -8,6 +8,7 @@ with each stage's rows written as Parquet in the shared folder and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm import jaccard, mixing, packing, suffixes, toxicity
 from lumenframe.llm.common import DOCUMENT_COLUMNS, stored, table
@@ -25,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that a document with a smaller id has are cut out; documents stay, if only as empty text."""
-    return suffixes.remove_repeats(docs).select(*DOCUMENT_COLUMNS)
+    """Strings of 50 bytes that a document with a smaller id has are cut out; documents stay, if only as empty text. n_chars follows the text."""
+    return suffixes.remove_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
