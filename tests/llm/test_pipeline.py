@@ -2,6 +2,8 @@
 
 import collections
 
+import numpy as np
+
 import corpus_pipeline as P
 from lumenframe.llm import mixing, toxicity
 from lumenframe.llm.common import DOCUMENT_COLUMNS, table
@@ -24,14 +26,14 @@ def test_stages(spark):
         after = out.collect()
         before = docs.collect()
         if name == "toxicity":
-            shared = {i: float(model.score(__import__("numpy").array([model.evidence(r["text"])]))[0]) for i, r in rows.items()}
-            assert {r["doc_id"] for r in after} == {i for i, s in shared.items() if s < toxicity.THRESHOLD} and len(after) < len(before)
+            scores = {i: float(model.score(np.array([model.evidence(r["text"])]))[0]) for i, r in rows.items()}
+            assert {r["doc_id"] for r in after} == {i for i, s in scores.items() if s < toxicity.THRESHOLD} and len(after) < len(before)
         elif name == "near_copies":
             assert {r["doc_id"] for r in after} == {i for i, _, c in components_brute([(r["doc_id"], r["text"]) for r in before]) if i == c}
         elif name == "repeated_passages":
             kept = {i: n - gone for i, n, gone, *_ in repeats_brute([(r["doc_id"], r["text"]) for r in before])}
             assert {r["doc_id"] for r in after} == set(kept)
-            assert all(kept[r["doc_id"]] - 6 <= len(r["text"].encode()) <= kept[r["doc_id"]] for r in after)
+            assert all(kept[r["doc_id"]] - 6 <= len(r["text"].encode()) <= kept[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in after)
         elif name == "source_mix":
             counts = collections.Counter(r["doc_id"] for r in after)
             known = {r["doc_id"] for r in before}
