@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors all see: below spark.checkpoint.dir, which is set only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lumenframe-checkpoints")
     return f"{base}/{uuid.uuid4().hex}"

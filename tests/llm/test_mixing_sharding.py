@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.mixing import mix_sources, poisson_cdf, source_rates
 from lumenframe.llm.sharding import op8_two_pass_shuffle, shuffle_into_shards, write_shards
 
-from .conftest import CLASHING, SCHEMA, as_rows  # noqa: F401
+from .conftest import as_rows
 
 
 def test_cdf_is_poisson_even_for_large_rates(spark):
