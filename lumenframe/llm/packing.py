@@ -156,30 +156,36 @@ def fillings(counts: dict[int, int], room: int, nodes: int = FILLING_NODES, keep
     def bound() -> int:
         return found[-1][0] if len(found) == keep else room + 1
 
-    def descend(at: int, room_left: int, items: list[int]) -> None:
-        nonlocal tried
-        fits = False
-        for k in range(at, len(sizes)):
-            if tried >= nodes or (found and found[0][0] == 0 and len(found) == keep):
-                return
-            s = sizes[k]
-            if s > room_left or not left[k]:
-                continue
-            fits = True
+    # Depth first with an own stack, as a room may take as many items as it has tokens. resume: where each item's successors go on; fits: whether it had any.
+    items: list[int] = []
+    placed: list[int] = []
+    resume, fits, room_left = [0], [False], room
+    while resume:
+        stop = found and (tried >= nodes or (found[0][0] == 0 and len(found) == keep))
+        k = resume[-1]
+        while k < len(sizes) and (sizes[k] > room_left or not left[k]):
+            k += 1
+        if k < len(sizes) and not stop:
+            resume[-1], fits[-1] = k + 1, True
             tried += 1
             left[k] -= 1
-            items.append(s)
-            descend(k, room_left - s, items)
-            items.pop()
-            left[k] += 1
-            if found and found[0][0] == 0 and len(items) > 0:
-                return  # a perfect filling: alternatives only by the first item
-        if not fits and room_left < bound() and not dominated(items, room_left):
+            placed.append(k)
+            items.append(sizes[k])
+            room_left -= sizes[k]
+            resume.append(k)
+            fits.append(False)
+            continue
+        if not stop and not fits[-1] and room_left < bound() and not dominated(items, room_left):
             found.append((room_left, tuple(items)))
             found.sort(key=lambda x: (x[0], len(x[1])))
             del found[keep:]
-
-    descend(0, room, [])
+        resume.pop()
+        fits.pop()
+        if placed:
+            left[placed.pop()] += 1
+            room_left += items.pop()
+        if items and found and found[0][0] == 0:
+            resume[-1] = len(sizes)  # a perfect filling: alternatives only by the first item
     return [items for _, items in found] or [()]
 
 

@@ -66,6 +66,20 @@ def test_fillings_are_undominated_and_best_first():
         complete_bins({11: 1}, 10)
 
 
+def test_thousands_of_short_pieces():
+    r = random.Random(3)
+    mixed = collections.Counter(int(min(2048, r.expovariate(1 / 500) + 1)) for _ in range(6_000)) + collections.Counter({1: 3_000})
+    for counts in ({1: 5_000}, {2: 5_000}, {1: 3_000, 2: 3_000}, mixed):
+        patterns = complete_bins(counts, 2048)
+        used = collections.Counter()
+        for n, items in patterns:
+            assert sum(items) <= 2048
+            for s in items:
+                used[s] += n
+        assert used == collections.Counter(counts) and sum(n for n, _ in patterns) == lower_bound(counts, 2048)
+    assert sum(n for n, _ in complete_bins({1: 50_000}, 8192)) == 7  # a filling may take more items than the search may try
+
+
 def test_cut():
     for n in (1, 5, 10, 11, 20, 27):
         parts = list(cut(np.zeros(n), 10))
@@ -116,6 +130,11 @@ def test_hot_lengths_are_spread(spark):
     assert len(rows) == 3_000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3_000 and len({r["sequence_id"] for r in rows}) == 1_000
 
 
+def test_empty_texts_are_packed(spark):
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', NULL) AS text")
+    assert check_packed(pack_documents(docs, default_tokenizer()).collect(), docs.collect()) == 3
+
+
 def test_op2_reaches_the_bound(spark):
     rows = op2_bin_completion(spark, "/root/testdata/sf0.001").collect()
     n = check_packed(rows, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
