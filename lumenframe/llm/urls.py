@@ -1,9 +1,9 @@
-"""URL filter: listed rules first, mined association rules for the rest; DataFrame operations and Spark's FP-growth only.
+"""URL filter: listed rules first, mined association rules for the rest; DataFrame operations only.
 
-URLs that a listed rule decides are the labelled rows. FP-growth mines frequent token
-combinations that hold a verdict; combinations below the support or confidence bound, and
-those that a shorter one with the same verdict makes redundant, are pruned. The rest are
-matched to the distinct token sets of all URLs by an inverted index from token to rules.
+URLs that a listed rule decides are the labelled rows. From all their tokens, combinations
+that hold a verdict are mined level by level; combinations below the support or confidence
+bound, and those that a shorter one with the same verdict makes redundant, are pruned. The
+rest are matched to the distinct token sets of all URLs by an inverted index from token to rules.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no tokens
 and the default verdict; without labelled rows nothing is mined and the default holds.
@@ -12,18 +12,15 @@ Repeated rows are judged alike, each for itself.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, table
-
-#: Only for mining: the most frequent tokens make up the vocabulary, and a transaction keeps its most frequent ones. This bounds the itemsets; matching reads all tokens.
-VOCABULARY, TRANSACTION_TOKENS = 200, 10
+from .common import fresh, quoted, stored, table
 
 
 @dataclass(frozen=True)
@@ -71,31 +68,57 @@ class MinedRule:
 
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> list[MinedRule]:
-    """Rules from rows of ``tokens`` and ``verdict``, best first. Their number is bounded by the support."""
+    """Rules from rows of ``tokens`` and ``verdict``, best first; those that a shorter one with the same verdict and no less confidence makes redundant are left out.
+
+    Sets of tokens grow by one token a level, over whole transactions. One is carried on while a
+    verdict with it reaches the support bound, it has several verdicts, and it is rarer than each
+    of its subsets. Nothing is lost: a set as frequent as a subset gives the subset's confidences.
+    So tokens that always come together make no combinations, and only the support bounds the rest.
+    """
     n = labelled.count()
     if not n:
         return []
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= max(1, min_support * n))
-    vocabulary = [r["token"] for r in frequent.orderBy(F.desc("count"), "token").limit(VOCABULARY).collect()]
-    if not vocabulary:
-        return []
-    known = F.slice(F.array_intersect(F.array(*[F.lit(t) for t in vocabulary]), F.col("tokens")), 1, TRANSACTION_TOKENS)
-    items = labelled.select(F.concat(known, F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    to_verdict = F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("="))
-    found = [MinedRule(tuple(sorted(r["antecedent"])), r["consequent"][0][1:], r["confidence"], r["support"]) for r in model.associationRules.filter(to_verdict).collect()]
-    found.sort(key=lambda r: (len(r.tokens), -r.confidence, -r.support, r.tokens, r.verdict))
-    kept: list[MinedRule] = []
-    for r in found:
-        if not any(k.verdict == r.verdict and k.confidence >= r.confidence and set(k.tokens) <= set(r.tokens) for k in kept):
-            kept.append(r)
-    return sorted(kept, key=lambda r: (-r.confidence, -len(r.tokens), -r.support, r.tokens, r.verdict))
+    spark, least = labelled.sparkSession, max(1, math.ceil(min_support * n))
+    rules: list[MinedRule] = []
+    # Sets to carry on, with their frequency and each verdict's best confidence by rules inside them.
+    carried: dict[tuple[str, ...], tuple[int, dict[str, float]]] = {(): (n, {})}
+    longer = labelled.select(F.explode(F.transform(F.array_distinct("tokens"), lambda t: F.array(t))).alias("items"), "verdict", F.lit(1).alias("n"))
+    grown = F.transform("rest", lambda t, i: F.struct(F.concat("items", F.array(t)).alias("items"), F.slice("rest", i + 2, F.size("rest")).alias("rest")))
+    while carried:
+        counts = longer.groupBy("items", "verdict").agg(F.sum("n").alias("n")).groupBy("items").agg(F.collect_list(F.struct("verdict", "n")).alias("counts"))
+        following = {}
+        for r in counts.filter(F.exists("counts", lambda c: c["n"] >= least)).collect():  # their number is bounded by the support
+            items, by = tuple(r["items"]), dict(r["counts"])
+            total, inside = sum(by.values()), [carried.get(items[:k] + items[k + 1 :]) for k in range(len(items))]
+            if None in inside or (len(items) > 1 and any(t == total for t, _ in inside)):
+                continue
+            best: dict[str, float] = {}
+            for _, confidences in inside:
+                best |= {v: c for v, c in confidences.items() if c > best.get(v, 0)}
+            for verdict, k in by.items():
+                if k >= least and k / total >= min_confidence and k / total > best.get(verdict, 0):
+                    rules.append(MinedRule(items, verdict, k / total, k / n))
+                    best[verdict] = k / total
+            if len(by) > 1:
+                following[items] = total, best
+        if following:
+            # The rows that hold ``items``, by the tokens after its last one and the verdict, as in FP-growth; only tokens carried on can make longer sets.
+            if () in carried:
+                known = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isin([i[0] for i in following]))))
+                held = labelled.select(F.array().cast("array<string>").alias("items"), known.alias("rest"), "verdict").groupBy("items", "rest", "verdict").agg(F.count("*").alias("n"))
+                held = held.select(F.inline(grown), "verdict", "n")
+            else:
+                names = spark.createDataFrame([(list(items),) for items in following], "items array<string>")
+                held = longer.join(F.broadcast(names), "items", "left_semi").groupBy("items", "rest", "verdict").agg(F.sum("n").alias("n"))
+            longer = stored(held, "held").select(F.inline(grown), "verdict", "n")
+        carried = following
+    return sorted(rules, key=lambda r: (-r.confidence, -len(r.tokens), -r.support, r.tokens, r.verdict))
 
 
 def match(token_sets: DataFrame, rules: Sequence[MinedRule]) -> DataFrame:
     """(tokens, verdict) for the distinct sets that hold all tokens of a rule: the best such rule's verdict."""
-    postings = [F.struct(F.lit(t).alias("token"), F.lit(rank).alias("rule"), F.lit(len(r.tokens)).alias("need"), F.lit(r.verdict).alias("verdict")) for rank, r in enumerate(rules) for t in r.tokens]
-    index = token_sets.sparkSession.range(1).select(F.inline(F.array(*postings)))
+    postings = [(t, rank, len(r.tokens), r.verdict) for rank, r in enumerate(rules) for t in r.tokens]
+    index = token_sets.sparkSession.createDataFrame(postings, "token string, rule int, need int, verdict string")
     hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # the index is bounded by the mined rules
     full = hits.groupBy("tokens", "rule", "need", "verdict").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("need"))
     return full.groupBy("tokens").agg(F.min_by("verdict", "rule").alias("verdict"))

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 from lumenframe.llm.urls import CONTRACT_RULES, MinedRule, filter_urls, match, mine, op5_association_rules
@@ -51,6 +52,37 @@ def test_mining_matches_brute_force(spark):
     assert found == expected
 
 
+def test_mining_reads_all_frequent_tokens_and_whole_transactions(spark):
+    # 300 tokens above the support bound, 15 a URL. With the 15th of each kind a URL is blocked, without it allowed.
+    rows = [([f"t{kind:02}{k:02}" for k in range(14 + (j < 12))], "block" if j < 12 else "allow") for kind in range(20) for j in range(20)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    expected = {((f"t{kind:02}14",), "block", 1.0, 12 / 400) for kind in range(20)}
+    assert {(r.tokens, r.verdict, r.confidence, r.support) for r in mine(labelled, 0.005, 0.8)} == expected
+
+
+def test_long_rules_are_found_among_many_tokens(spark):
+    # Eleven tokens are everywhere; each of four is missing in some allowed rows, and only all four together are blocked.
+    common = [f"a{k:02}" for k in range(11)]
+    rows = [(common + ["w", "x", "y", "z"], "block")] * 8 + [(common + [t for t in "wxyz" if t != out], "allow") for out in "wxyz" for _ in range(5)]
+    found = {(r.tokens, r.verdict): r.confidence for r in mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1, 0.8)}
+    assert found == {(("w", "x", "y", "z"), "block"): 1.0}
+
+
+def test_mining_matches_brute_force_on_random_rows(spark):
+    draw = random.Random(5)
+    rows = [(sorted(t for t in "abcdefgh" if draw.random() < 0.6), draw.choice(["allow", "block", "block"])) for _ in range(60)]
+    found = {(r.tokens, r.verdict): r.confidence for r in mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.7)}
+    expected = {}
+    for size in range(1, 9):
+        for combo in itertools.combinations("abcdefgh", size):
+            have = [v for t, v in rows if set(combo) <= set(t)]
+            for v in ("allow", "block"):
+                n = have.count(v)
+                if n >= 0.05 * len(rows) and n / len(have) >= 0.7 and not any(set(k) < set(combo) and w == v and c >= n / len(have) for (k, w), c in expected.items()):
+                    expected[combo, v] = n / len(have)
+    assert found == expected and max(len(t) for t, _ in found) > 2
+
+
 def test_inverted_index_takes_the_best_whole_match(spark):
     rules = [MinedRule(("a", "b"), "block", 1.0, 0.5), MinedRule(("c",), "allow", 0.9, 0.5), MinedRule(("a",), "allow", 0.8, 0.5)]
     sets = spark.createDataFrame([(["a", "b", "c"],), (["a", "c"],), (["a"],), (["z"],), ([],)], "tokens array<string>")
