@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import fresh, quoted, table, utf8_size
+from .common import fresh, quoted, shared_dir, table, utf8_size
 
 #: Payload bytes of a bucket, by expectation; a task holds one bucket at a time.
 BUCKET_BYTES = 32 << 20
@@ -40,7 +41,8 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], n_shards: int, seed: int
     first = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("offset"))
     # Buckets and their rows are put in order first, so that a task that runs again shuffles alike.
-    buckets = rows.groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # Whole rows go to their bucket's task before they are gathered: mappers would otherwise gather all of their input.
+    buckets = rows.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("items"))
     placed = (
         buckets.join(offsets, "bucket")
         .sortWithinPartitions("bucket")
@@ -63,10 +65,20 @@ def write_shards(df: DataFrame, path: str, keys: list[str], n_shards: int, seed:
 
 
 def op8_two_pass_shuffle(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    """Whole documents are shuffled and written as shards; the digests are those of the documents read from there."""
+    docs = table(spark, sf_dir, "documents")
+    size = fresh(docs.columns, "size")[0]
+    docs = docs.withColumn(size, utf8_size(F.col("text")) + 16)
+    path = f"{shared_dir(spark)}-shards"
+    write_shards(docs, path, ["doc_id", "text"], n_shards=40, seed=20240501, size=size)
+    shard, slot = fresh(docs.columns, "shard", "slot")
+    shards = spark.read.schema(StructType([*docs.schema, StructField(slot, LongType()), StructField(shard, IntegerType())])).parquet(path)
+    return shards.select(
         "doc_id",
         (utf8_size(F.col("text")) + 16).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        quoted(shard).alias("shard"),
+        quoted(slot).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    done = shuffle_into_shards(docs, ["doc_id", "size", "text_crc32"], n_shards=40, seed=20240501, size="size")
-    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -78,3 +78,19 @@ def test_op8_contract(spark, nasty, tmp_path):
         data = (r["text"] or "").encode()
         texts[r["doc_id"]].add((len(data) + 16, zlib.crc32(data)))
     assert all((r["size"], r["text_crc32"]) in texts[r["doc_id"]] and r["law"] == "rows" and r["grown_shard"] is None for r in rows)
+
+
+def test_op8_writes_whole_documents(spark, nasty, no_documents, tmp_path, monkeypatch):
+    from lumenframe.llm import sharding
+
+    nasty.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(sharding, "shared_dir", lambda spark: str(tmp_path / "out"))
+    rows = op8_two_pass_shuffle(spark, str(tmp_path)).collect()
+    written = spark.read.parquet(str(tmp_path / "out-shards"))
+    names = ("doc_id", "text", "lang", "source", "n_chars")
+    assert as_rows(written, *names) == as_rows(nasty, *names)
+    found = [(r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in written.collect()]
+    assert sorted(found, key=repr) == sorted([tuple(r[n] for n in ("doc_id", "size", "text_crc32", "shard", "slot")) for r in rows], key=repr)
+    no_documents.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    monkeypatch.setattr(sharding, "shared_dir", lambda spark: str(tmp_path / "nothing"))
+    assert op8_two_pass_shuffle(spark, str(tmp_path / "none")).count() == 0
