@@ -4,6 +4,9 @@ import datetime
 import decimal
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +51,16 @@ def test_entry_and_registration(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_registration_without_the_corpus_operators(tmp_path):
+    """A copy of the repository without them registers all other queries, whether the pipeline's file is left or not."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for left in ([], ["corpus_pipeline.py"]):
+        at = tmp_path / f"copy{len(left)}"
+        shutil.copytree(f"{root}/lumenframe", at / "lumenframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for name in ["__spark_entry__.py", *left]:
+            if os.path.exists(f"{root}/{name}"):
+                shutil.copy(f"{root}/{name}", at)
+        said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"], cwd=at, env={**os.environ, "PYTHONPATH": str(at)}, capture_output=True, text=True, check=True)
+        assert set(said.stdout.split()) == set(queries.QUERIES)
