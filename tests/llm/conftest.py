@@ -4,7 +4,7 @@ import pytest
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "tree", "river", "stone", "cloud", "light", "paper", "ocean", "ember", "glass", "field", "storm"]
 #: Names that operators use inside, as columns of the input.
-CLASHING = ["shard", "slot", "group", "grp", "bucket", "copy", "shuffle_key", "cdf", "receiver", "score", "row", "item", "gone", "host", "path", "rule", "verdict", "tokens"]
+CLASHING = ["shard", "slot", "group", "grp", "bucket", "copy", "shuffle_key", "cdf", "receiver", "score", "row", "item", "gone", "host", "path", "rule", "verdict", "tokens", "at", "offset", "found_tokens_", "found_verdict_", "parts", "length_", "chunk_"]
 
 
 def prose(seed: int, n: int) -> str:

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import zlib
 
@@ -6,17 +7,41 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm.mixing import mix_sources, poisson_cdf, source_rates
-from lumenframe.llm.sharding import op8_two_pass_shuffle, shuffle_into_shards, write_shards
+from lumenframe.llm.sharding import op8_two_pass_shuffle, read_shards, shuffle_into_shards, write_shards
 
 from .conftest import as_rows
 
 
-def test_cdf_is_poisson_even_for_large_rates(spark):
-    for rate in (0.3, 1.0, 7.5, 2_000.0):
+def test_cdf_is_poisson(spark):
+    for rate in (0.3, 1.0, 7.5, 32.0):
         cdf = spark.range(1).select(poisson_cdf(F.lit(rate))).first()[0]
-        k = int(rate)
-        exact = sum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k + 1))
-        assert abs(cdf[k] - exact) < 1e-9 and 1 - cdf[-1] < 1e-9
+        for k in (0, int(rate), int(rate) + 9):
+            exact = sum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k + 1))
+            assert abs(cdf[k] - exact) < 1e-12
+        assert 1 - cdf[-1] < 1e-12 and len(cdf) < 140
+
+
+def test_counts_are_those_of_a_plain_version(spark):
+    """Rates from 0.3 to 3,000, some of them drawn in parts."""
+    rows = [(k, "rare" if k == 0 else "mid" if k < 40 else "hot") for k in range(4_000)]
+    weights, total = {"rare": 0.75, "mid": 0.2, "hot": 0.05}, 4_000
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), "source", ["doc_id"], weights=weights, seed=9)
+    found = collections.Counter(r["doc_id"] for r in out.select("doc_id").collect())
+    size = collections.Counter(s for _, s in rows)
+    for i, s in rows:
+        rate = weights[s] / sum(weights.values()) * total / size[s]
+        parts, want = max(1, math.ceil(rate / 32)), 0
+        for j in range(parts):
+            u = int(hashlib.md5(f"9|{i}{f'|{j}' if j else ''}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            k = 0
+            while c <= u and k < 140:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            want += k
+        assert found[i] == want
+    assert abs(found[0] - 3_000) < 250
 
 
 def test_rates_reach_targets(spark):
@@ -29,7 +54,7 @@ def test_rates_reach_targets(spark):
 
 def test_salted_join_gives_the_same(spark):
     df = spark.createDataFrame([(k, f"s{k % 7}" if k % 3 else None) for k in range(2_000)], "doc_id long, source string")
-    a, b = (as_rows(mix_sources(df, "source", ["doc_id"], seed=3, broadcast_sources=n), "doc_id", "source", "copy", "shuffle_key") for n in (100, 1))
+    a, b = (as_rows(mix_sources(df, "source", ["doc_id"], seed=3, broadcast_bytes=n), "doc_id", "source", "copy", "shuffle_key") for n in (1 << 20, 1))
     assert a == b and {r[1] for r in a} >= {None}
 
 
@@ -67,6 +92,28 @@ def test_sharding_defined_results(spark, nasty, clashing, no_documents, tmp_path
     assert spark.read.parquet(str(tmp_path / "out")).count() == nasty.count()
     with pytest.raises(ValueError):
         shuffle_into_shards(nasty, ["doc_id"], 0, 1)
+    assert sum(r["n"] for r in shuffle_into_shards(spark.range(3), ["id"], 40, 1).groupBy("shard").agg(F.count("*").alias("n")).collect()) == 3
+
+
+def test_written_shards_have_all_slots_in_many_files(spark, tmp_path):
+    df = spark.range(2_003).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), F.lit(7).alias("at"), F.lit(1).alias("offset"))
+    write_shards(df, str(tmp_path / "out"), ["doc_id"], 5, 3, bucket_bytes=20_000)
+    rows = read_shards(spark, str(tmp_path / "out"), df.schema).withColumn("file", F.col("_metadata.file_path")).collect()
+    assert sorted((r["doc_id"], r["text"], r["at"]) for r in rows) == sorted((r["doc_id"], r["text"], r["at"]) for r in df.collect())
+    for k in range(5):
+        own = [r for r in rows if r["shard"] == k]
+        assert sorted(r["slot"] for r in own) == list(range(len(own))) and len(own) in (400, 401)
+        files = collections.defaultdict(list)
+        for r in own:
+            files[r["file"]].append(r["slot"])
+        assert len(files) > 3 and all(s == list(range(min(s), max(s) + 1)) for s in files.values())
+
+
+def test_rows_with_equal_keys_spread_over_buckets(spark, tmp_path):
+    spark.range(9_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(-1)).alias("doc_id")).write.parquet(str(tmp_path / "in"))
+    done = shuffle_into_shards(spark.read.parquet(str(tmp_path / "in")), ["doc_id"], 7, 1, bucket_bytes=25_600).withColumn("task", F.spark_partition_id()).collect()
+    assert len(done) == 9_000 and max(collections.Counter(r["task"] for r in done).values()) < 400
+    assert sorted((r["shard"], r["slot"]) for r in done) == sorted((s, k) for s in range(7) for k in range(1286 if s < 5 else 1285))
 
 
 def test_op8_contract(spark, nasty, tmp_path):
