@@ -4,10 +4,16 @@ URLs that a listed rule decides are the labelled rows. From all their tokens, co
 that hold a verdict are mined level by level; combinations below the support or confidence
 bound, and those that a shorter one with the same verdict makes redundant, are pruned. The
 rest are matched to the distinct token sets of all URLs by an inverted index from token to rules.
+The sets' verdicts return to the rows by a digest of the set: those of the few sets that very
+many rows have are broadcast, so that such rows don't meet in one task, and only rows with
+other sets are shuffled.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no tokens
 and the default verdict; without labelled rows nothing is mined and the default holds.
-Repeated rows are judged alike, each for itself.
+Repeated rows are judged alike, each for itself. URLs of any length are read whole. Of several
+mined rules that match, the one of the highest confidence holds, then the longest, the most
+frequent, and the first by its tokens. An empty table gives an empty table; other columns stay
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, quoted, stored, table
 
+#: Token sets that at least this share of the open rows have are broadcast with their verdict; there can't be more than its reciprocal, of 100 bytes each.
+HOT_SHARE = 0.001
+
 
 @dataclass(frozen=True)
 class ListedRule:
@@ -55,8 +64,11 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
     numberless = F.regexp_replace(path, r"[0-9]+", "#")
     kinds = [("h:", F.split(host, r"\.")), ("p:", F.split(numberless, "[/.]")), ("q:", F.transform(F.split(query, "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1))))]
-    named = [F.transform(F.filter(parts, lambda x: x != ""), lambda x, kind=kind: F.concat(F.lit(kind), x)) for kind, parts in kinds]
-    return F.array_sort(F.array_distinct(F.concat(*named)))
+
+    def named(kind: str, parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
+
+    return F.array_sort(F.array_distinct(F.concat(*[named(*k) for k in kinds])))
 
 
 @dataclass(frozen=True)
@@ -116,29 +128,43 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> list
 
 
 def match(token_sets: DataFrame, rules: Sequence[MinedRule]) -> DataFrame:
-    """(tokens, verdict) for the distinct sets that hold all tokens of a rule: the best such rule's verdict."""
+    """The rows (all different) whose ``tokens`` hold all those of a rule, with the best such rule's verdict."""
     postings = [(t, rank, len(r.tokens), r.verdict) for rank, r in enumerate(rules) for t in r.tokens]
     index = token_sets.sparkSession.createDataFrame(postings, "token string, rule int, need int, verdict string")
-    hits = token_sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # the index is bounded by the mined rules
-    full = hits.groupBy("tokens", "rule", "need", "verdict").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("need"))
-    return full.groupBy("tokens").agg(F.min_by("verdict", "rule").alias("verdict"))
+    hits = token_sets.select("*", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")  # the index is bounded by the mined rules
+    full = hits.groupBy(*token_sets.columns, "rule", "need", "verdict").agg(F.count("*").alias("hits")).filter(F.col("hits") == F.col("need"))
+    return full.groupBy(*token_sets.columns).agg(F.min_by("verdict", "rule").alias("verdict"))
+
+
+def set_digest(tokens: Column) -> Column:
+    return F.sha2(F.to_json(tokens), 256)
 
 
-def filter_urls(pages: DataFrame, url: str, rules: Sequence[ListedRule], min_support: float = 0.005, min_confidence: float = 0.8, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, url: str, rules: Sequence[ListedRule], min_support: float = 0.005, min_confidence: float = 0.8, default: str = "allow", hot_share: float = HOT_SHARE) -> DataFrame:
     """All rows and columns, with host, path, rule and verdict."""
-    names = fresh(pages.columns, "host", "path", "rule", "verdict", "tokens")
-    host, path, rule, verdict, tokens = names
+    names = fresh(pages.columns, "host", "path", "rule", "verdict", "tokens", "set_digest", "found_digest", "found_verdict")
+    host, path, rule, verdict, tokens, digest, found_digest, found_verdict = names
     df = pages.withColumn(host, url_parts(quoted(url))[0]).withColumn(path, url_parts(quoted(url))[1])
     by_rule = listed(quoted(host), quoted(path), rules)
     df = df.withColumn(rule, by_rule[0]).withColumn(verdict, by_rule[1]).withColumn(tokens, url_tokens(quoted(url), quoted(host), quoted(path)))
-    mined = mine(df.filter(quoted(rule).isNotNull()).select(quoted(tokens).alias("tokens"), quoted(verdict).alias("verdict")), min_support, min_confidence)
-    columns = [quoted(c) for c in pages.columns]
+    is_open = quoted(rule).isNull()
+    mined = mine(df.filter(~is_open).select(quoted(tokens).alias("tokens"), quoted(verdict).alias("verdict")), min_support, min_confidence)
+    columns = [quoted(c) for c in (*pages.columns, host, path, rule)]
     if not mined:
-        return df.select(*columns, *[quoted(c) for c in names[:3]], F.coalesce(quoted(verdict), F.lit(default)).alias(verdict))
-    open_sets = df.filter(quoted(rule).isNull()).select(quoted(tokens).alias("tokens")).distinct()
-    found = match(open_sets, mined).select(F.col("tokens").alias("found_tokens_"), F.col("verdict").alias("found_verdict_"))
-    joined = df.join(found, quoted(rule).isNull() & (quoted(tokens) == F.col("found_tokens_")), "left")
-    return joined.select(*columns, *[quoted(c) for c in names[:3]], F.coalesce(quoted(verdict), F.col("found_verdict_"), F.lit(default)).alias(verdict))
+        return df.select(*columns, F.coalesce(quoted(verdict), F.lit(default)).alias(verdict))
+    df = df.withColumn(digest, set_digest(quoted(tokens)))
+    sets = df.filter(is_open).groupBy(quoted(digest).alias("digest")).agg(F.any_value(quoted(tokens)).alias("tokens"), F.count("*").alias("rows"))
+    sets = stored(sets, "url-sets")
+    open_rows = sets.agg(F.sum("rows")).first()[0] or 0
+    found = stored(match(sets, mined).select(F.col("digest").alias(found_digest), F.col("verdict").alias(found_verdict), "rows"), "url-verdicts")
+    is_hot = F.col("rows") >= hot_share * open_rows
+    hot, others = found.filter(is_hot).drop("rows"), found.filter(~is_hot).drop("rows")
+    same = quoted(digest) == quoted(found_digest)
+    known = df.join(F.broadcast(hot), is_open & same, "left")
+    ready = quoted(verdict).isNotNull() | quoted(found_verdict).isNotNull()
+    rest = known.filter(~ready).drop(found_digest, found_verdict).join(others, same, "left")
+    decided = F.coalesce(quoted(verdict), quoted(found_verdict), F.lit(default)).alias(verdict)
+    return known.filter(ready).select(*columns, decided).unionAll(rest.select(*columns, decided))
 
 
 #: The rules that the query's contract lists.

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 
@@ -109,6 +110,54 @@ def test_method_blocks_what_looks_like_blocked(spark):
     assert verdicts["http://other.org/xx/cheap/1"] == "block" and verdicts["http://other.org/xx/news/1"] == "allow"
 
 
+def plain_tokens(url):
+    host, path, _, _ = plain(url)
+    query = re.split("#", url or "", maxsplit=1)[0].split("?", 1)
+    parts = [("h:", host.split(".")), ("p:", re.split("[/.]", re.sub("[0-9]+", "#", path))), ("q:", [x.split("=")[0] for x in query[1].split("&")] if len(query) > 1 else [])]
+    return frozenset(kind + x for kind, xs in parts for x in xs if x)
+
+
+def plain_verdicts(urls, min_support, min_confidence):
+    """All subsets of all labelled token sets, then the best rule inside each URL's set."""
+    labelled = [(plain_tokens(u), plain(u)[3]) for u in urls if plain(u)[2] is not None]
+    counts = {}
+    for tokens, verdict in labelled:
+        for size in range(1, len(tokens) + 1):
+            for combo in itertools.combinations(sorted(tokens), size):
+                counts.setdefault(combo, {}).setdefault(verdict, 0)
+                counts[combo][verdict] += 1
+    least = math.ceil(min_support * len(labelled))
+    rules = [(-k / sum(by.values()), -len(combo), -k, combo, v) for combo, by in counts.items() for v, k in by.items() if k >= least and k / sum(by.values()) >= min_confidence]
+    best = {}
+    for confidence, _, _, combo, v in sorted(rules, key=lambda r: len(r[3])):  # a rule that a shorter one makes redundant goes
+        if not any((c, v) in best and best[c, v] <= confidence for n in range(1, len(combo)) for c in itertools.combinations(combo, n)):
+            best[combo, v] = confidence
+    kept = sorted(r for r in rules if (r[3], r[4]) in best)
+    return [plain(u)[3] or next((v for *_, combo, v in kept if set(combo) <= plain_tokens(u)), "allow") for u in urls]
+
+
+def test_open_urls_are_judged_as_by_brute_force(spark):
+    draw = random.Random(11)
+    hosts, words = ["a.com", "b.example.com", "www.example.com", "x.net", "y.net", "z.org", "w.org"], ["en", "fr", "es", "cheap", "news", "win", "77"]
+    urls = [f"http://{draw.choice(hosts)}/{draw.choice(['en', 'fr', 'es'])}/{draw.choice(words)}/{draw.choice(words)}" + draw.choice(["", "?utm=1", "?q=2&r=3#top"]) for _ in range(400)]
+    urls += ["http://q.org/cheap/77"] * 300 + [None, "", "http://"]
+    expected = plain_verdicts(urls, 0.02, 0.75)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for hot_share in (0.001, 0.2, 2.0):
+        rows = filter_urls(pages, "url", CONTRACT_RULES, 0.02, 0.75, hot_share=hot_share).collect()
+        assert [r["verdict"] for r in sorted(rows, key=lambda r: r["page_id"])] == expected
+    assert "block" in {v for u, v in zip(urls, expected) if plain(u)[2] is None}
+
+
+def test_clashing_columns(spark):
+    rows = [f"http://spam{k}.net/es/cheap/{k}" for k in range(40)] + [f"http://good{k}.com/news/{k}" for k in range(40)] + ["http://o.org/cheap/1"]
+    taken = ["host", "tokens", "digest", "rows", "set_digest", "found_digest", "found_verdict", "found_tokens_", "found_verdict_", "items", "rest", "n"]
+    pages = spark.createDataFrame([(k, u, *range(len(taken))) for k, u in enumerate(rows)], ["page_id", "url", *taken])
+    out = filter_urls(pages, "url", CONTRACT_RULES)
+    assert out.columns[: len(pages.columns)] == pages.columns and out.count() == len(rows)
+    assert out.filter("page_id = 80").first()["verdict"] == "block"
+
+
 def test_op5_columns(spark):
     df = op5_association_rules(spark, "/root/testdata/sf0.001")
     assert df.columns == ["page_id", "host", "path", "rule", "verdict"] and df.count() == 50
