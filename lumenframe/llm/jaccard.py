@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, fresh, quoted, stored, table
 from .components import components
-from .packed import bucket_slices, member, pack, pack_bits, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
+from .packed import bucket_slices, distinct, member, pack, pack_bits, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
 
 #: Words of a shingle; hundredths of the union that linked sets share.
 WORDS, THRESHOLD = 5, 75
@@ -76,7 +76,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _P
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return distinct(h)
 
 
 def needed(n: int, threshold: int) -> int:
@@ -96,7 +96,7 @@ def head_common(n: int) -> int:
 def head(s: np.ndarray, threshold: int) -> np.ndarray:
     """The first shingles, as 40-bit keys."""
     n = len(s)
-    return np.unique(s[: n - needed(n, threshold) + head_common(n)] >> _HIGH)
+    return distinct(s[: n - needed(n, threshold) + head_common(n)] >> _HIGH)
 
 
 def linked(a: int, b: int, overlap: int, threshold: int) -> bool:
@@ -285,7 +285,7 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         return np.array([ids[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order]
 
     def keys_of(sets: list[np.ndarray]) -> Keys:
-        return Keys([np.unique(s >> _HIGH) for s in sets], buckets)
+        return Keys([distinct(s >> _HIGH) for s in sets], buckets)
 
     def send_all(t: pa.Table) -> pa.Table:
         return keys_of(left_of(t)[1]).message(t.column("sender")[0].as_py())
@@ -303,7 +303,7 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         """(keys, ids, sizes): the shared ones among the first shingles of each set, where those met once come first. Keys ascend."""
         keys, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, n, common in common_of(t, answers):
-            first = np.unique(common[: first_ones(n, threshold) - (n - len(common))] >> _HIGH)
+            first = distinct(common[: first_ones(n, threshold) - (n - len(common))] >> _HIGH)
             keys.append(first)
             ids.append(np.full(len(first), i))
             sizes.append(np.full(len(first), n))
@@ -338,11 +338,12 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         found = np.zeros((0, 3), np.int64)
         if t.num_rows:
             key, i, n = rare_of(t, messages.filter(pc.is_valid(messages.column("bits"))))
-            distinct, of = np.unique(key, return_inverse=True)
+            of = np.cumsum(np.concatenate((np.zeros(min(len(key), 1), np.int64), (key[1:] != key[:-1]).astype(np.int64))))  # keys ascend
             told = messages.filter(pc.is_valid(messages.column("leaders"))).sort_by("bucket")  # buckets and keys ascend alike
             leader = np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.int64) for x in told.column("leaders").to_pylist())])[of]
-            assert len(leader) == len(key) and len(distinct) <= len(key)
-            found = np.unique(np.stack((leader, i, n), 1)[leader != NONE], axis=0)
+            found = np.stack((leader, i, n), 1)[leader != NONE]
+            found = found[np.lexsort(found.T[::-1])]
+            found = found[np.concatenate((np.ones(min(len(found), 1), bool), (found[1:] != found[:-1]).any(1)))]
         return pa.table({"leader": pa.array(found[:, 0]), "doc": pa.array(found[:, 1]), "receiver": pa.array([number_of(t, messages)] * len(found), pa.int64()), "size": pa.array(found[:, 2])})
 
     def send_sets(t: pa.Table, messages: pa.Table) -> pa.Table:

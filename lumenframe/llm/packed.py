@@ -35,6 +35,18 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending values without repeats, by sorting, which is many times as fast as hashing."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[new], np.diff(new, append=len(x))
+
+
 def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of x are in an ascending array."""
     if not len(known):
@@ -48,7 +60,7 @@ def in_several(parts: list[np.ndarray]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     x = np.sort(np.concatenate(parts))
     again = x[1:] == x[:-1]
-    return np.unique(x[1:][again])
+    return distinct(x[1:][again])
 
 
 def pack_bits(x: np.ndarray) -> bytes:
@@ -62,7 +74,7 @@ def unpack_bits(data: bytes, n: int) -> np.ndarray:
 def shared_bits(own: list[bytes], several: list[bytes]) -> list[bytes]:
     """For each sender's ascending keys (those that it has several times listed again), one bit a key: whether it, or another sender, has it again."""
     keys = [unpack_sorted(x) for x in own]
-    shared = np.union1d(in_several(keys), np.unique(np.concatenate([unpack_sorted(x) for x in several])))
+    shared = distinct(np.concatenate([in_several(keys), *(unpack_sorted(x) for x in several)]))
     return [pack_bits(member(x, shared)) for x in keys]
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dealt, fresh, table
-from .packed import bucket_slices, expand, member, pack, pack_sorted, shared_bits, squeeze, unpack, unpack_bits
+from .packed import bucket_slices, distinct, expand, member, pack, pack_sorted, shared_bits, squeeze, unpack, unpack_bits
 
 #: Length of the strings, of the anchors' leading bytes, and window starts handled at once.
 LENGTH, LEADING, SLICE = 50, 16, 1 << 20
@@ -108,7 +108,7 @@ class Runs:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, ascending, and which of them several documents have."""
-        pairs = np.unique(self.key << np.uint64(24) | self.doc.astype(np.uint64))
+        pairs = distinct(self.key << np.uint64(24) | self.doc.astype(np.uint64))
         key = pairs >> np.uint64(24)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         return key[new], np.diff(new, append=len(key)) > 1
@@ -279,7 +279,7 @@ def sample_splitters(docs: DataFrame, text: str, length: int, buckets: int, rows
     found = np.sort(sample.mapInArrow(leads, "lead long").toArrow().column("lead").to_numpy().astype(np.int64).view(np.uint64))
     if not len(found):
         return np.zeros(0, np.uint64)
-    return np.unique(found[np.arange(1, buckets) * len(found) // buckets])
+    return distinct(found[np.arange(1, buckets) * len(found) // buckets])
 
 
 def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, schema: T.StructType, group_bytes: int = GROUP_BYTES) -> DataFrame:
