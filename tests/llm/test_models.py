@@ -1,5 +1,9 @@
 """Quality and toxicity: fits, held-out accuracy, defined results."""
 
+import collections
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,30 +53,138 @@ def test_features_take_any_text():
     assert not Q.features(None).any() and not Q.features("").any()
 
 
-def test_kneser_ney_distributions_sum_to_one():
-    """Of the models behind the ratios: backoff, and each class's unigrams over the vocabulary."""
-    counts = np.array([3.0, 0.0, 10.0, 1.0, 0.0, 50.0])
-    for d in X.DISCOUNTS:
-        assert X.backoff(6, counts, d).sum() == pytest.approx(1) and (X.backoff(6, counts, d) > 0).all()
-    assert X.backoff(4, np.zeros(4), 2.0).tolist() == [0.25] * 4
+def corpus_of(texts, words):
+    n = collections.Counter(w for t in texts for w in X.words_of(t))
+    of = np.array([0.0, 0.0, *(n[w] for w in words)])
+    of[X.UNKNOWN] = sum(n.values()) - of.sum()
+    return X.CorpusCounts(of, sum(n.values()), len(n), sum(k == 1 for k in n.values()), sum(k == 2 for k in n.values()))
+
+
+def pair_of(toxic, plain, ratio, more=()):
+    words = X.vocabulary_of([*toxic, *plain])
+    blank = X.KneserNeyPair(words, *[np.zeros(len(words) + 2)] * 2, np.zeros(0, np.int64), np.zeros(0))
+    seen = [X.class_counts([blank.word_ids(t) for t in part], len(words) + 2) for part in (toxic, plain)]
+    return X.learn_pair(words, seen, corpus_of([*toxic, *plain, *more], words), ratio)
+
+
+def plain_discount(values):
+    n = collections.Counter(values)
+    if not all(n[k] for k in (1, 2, 3, 4)):
+        return lambda c: [0, 0.5, 1.0, 1.5][min(c, 3)]
+    y = n[1] / (n[1] + 2 * n[2])
+    return lambda c: min(max(min(c, 3) - (min(c, 3) + 1) * y * n[min(c, 3) + 1] / n[min(c, 3)], 0.05), min(c, 3) - 0.05)
+
+
+class PlainKneserNey:
+    """Probabilities of one class straight from the definition, with dictionaries."""
+
+    def __init__(self, texts, others, corpus, ratio):
+        def bigrams(ts):
+            seen = {(["<", "<", *X.words_of(t)][k], ["<", "<", *X.words_of(t)][k + 1], w) for t in ts for k, w in enumerate(X.words_of(t))}
+            return collections.Counter((v, w) for _, v, w in seen)
+
+        def mass(counts):
+            out = collections.Counter()
+            for (v, _), c in counts.items():
+                out[v] += c
+            return out
+
+        n = collections.Counter(w for t in corpus for w in X.words_of(t))
+        once, twice = (sum(k == m for k in n.values()) for m in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        self.known = {w for t in [*texts, *others] for w in X.words_of(t)}
+        unknown = sum(k for w, k in n.items() if w not in self.known)
+        self.shared = lambda w: max((n[w] if w in self.known else unknown) - d, 0) / sum(n.values()) + d * len(n) / sum(n.values()) / (len(n) + 1)
+        own, theirs = bigrams(texts), bigrams(others)
+        pooled = own + theirs
+        types = collections.Counter(w for _, w in own)
+        cut = plain_discount(types.values())
+        total = sum(types.values())
+        self.types = {w: t - cut(t) for w, t in types.items() if t * math.log((t - cut(t)) / total / self.shared(w)) >= ratio}
+        self.total = total
+        cut = plain_discount(pooled.values())
+        self.pooled, self.pooled_mass = {k: c - cut(c) for k, c in pooled.items() if c > 1}, mass(pooled)
+        own_cut, self.mass = plain_discount(own.values()), mass(own)
+        self.own = {}
+        for (v, w), c in own.items():
+            if c * math.log((c - own_cut(c)) / self.mass[v] / self.below(v, w)) >= ratio:
+                self.own[v, w] = c - own_cut(c)
+
+    def word(self, w):
+        return self.types.get(w, 0) / self.total + (1 - sum(self.types.values()) / self.total) * self.shared(w)
+
+    def below(self, v, w):
+        m = self.pooled_mass[v]
+        if not m:
+            return self.word(w)
+        return self.pooled.get((v, w), 0) / m + (1 - sum(c for (a, _), c in self.pooled.items() if a == v) / m) * self.word(w)
+
+    def __call__(self, v, w):
+        m = self.mass[v]
+        if not m:
+            return self.below(v, w)
+        return self.own.get((v, w), 0) / m + (1 - sum(c for (a, _), c in self.own.items() if a == v) / m) * self.below(v, w)
+
+
+def test_kneser_ney_is_that_of_a_plain_version():
+    r = random.Random(4)
+    toxic = [" ".join(r.choice("abcdefghij") + r.choice(["", "", "x"]) for _ in range(30)) + " vile scum" * (k % 2) for k in range(12)]
+    plain = [" ".join(r.choice("abcdefghij") + r.choice(["", "", "y"]) for _ in range(30)) for k in range(20)]
+    more = ["only here", "a b vile", "c only"]
+    for ratio in (0.5, 3.0, 12.0):
+        model = pair_of(toxic, plain, ratio, more)
+        bad, good = PlainKneserNey(toxic, plain, [*toxic, *plain, *more], ratio), PlainKneserNey(plain, toxic, [*toxic, *plain, *more], ratio)
+        for small in (model, model.narrowed()):
+            for text in (toxic[1], plain[3], "vile scum a b unheard of c", "zzz", "a", "e f g vile"):
+                words = X.words_of(text)
+                d = [math.log(bad(v, w) / good(v, w)) for v, w in zip(["<", *words], words)]
+                whole, worst = small.evidence(text)
+                assert whole == pytest.approx(sum(d) / len(d), abs=1e-9)
+                n = min(2, len(d))
+                assert worst == pytest.approx(max(sum(d[k : k + n]) for k in range(len(d) - n + 1)) / 2, abs=1e-9)
+
+
+def test_kneser_ney_probabilities_sum_to_one():
+    """Over the known words and what is left for unknown ones, in every context."""
+    r = random.Random(9)
+    toxic, plain = ([" ".join(r.choice("abcdefgh") for _ in range(25)) for _ in range(9)] for _ in range(2))
+    for ratio in (0.5, 5.0):
+        model = PlainKneserNey(toxic, plain, [*toxic, *plain], ratio)
+        for v in ("<", b"a", b"e", b"never"):
+            assert sum(model(v, w) for w in model.known) + (1 - sum(map(model.shared, model.known))) * 1.0 == pytest.approx(1, abs=0.05)
+    d = X.discounts(np.array([1.0] * 40 + [2.0] * 15 + [3.0] * 7 + [4.0] * 4 + [9.0]))
+    assert 0 < d[1] < 1 and 0 < d[2] < 2 and 0 < d[3] < 3
 
 
 def test_toxic_expressions_weigh_and_rare_words_do_not():
     toxic = [prose(k, 30) + f" vile{'' if k % 2 else ' scum'} thing " + prose(k + 1, 20) for k in range(60)]
     plain = [prose(1_000 + k, 55) for k in range(60)]
-    words = X.vocabulary_of([*toxic, *plain])
-    blank = X.KneserNeyPair(words, np.zeros(len(words) + 2), np.zeros(len(words) + 2), np.zeros(0, np.int64), np.zeros(0))
-    corpus = sum(np.bincount(blank.word_ids(t), minlength=len(words) + 2) for t in [*toxic, *plain]).astype(float)
-    model = X.learn_pair(words, [X.class_counts(blank, toxic), X.class_counts(blank, plain)], corpus, 3.0)
+    model = pair_of(toxic, plain, 12.0).narrowed()
     bad, good, rare = (model.evidence(t)[1] for t in (prose(7, 40) + " vile thing", prose(7, 40), prose(7, 40) + " unheard of"))
     assert bad > good + 0.5 and abs(rare - good) < 0.5
     assert model.evidence(None) == model.evidence("") == (0.0, 0.0) and np.isfinite(model.evidence("vile " * 200_000)).all()
 
 
 def test_copies_count_once():
-    text = prose(3, 40)
-    blank = X.KneserNeyPair(X.vocabulary_of([text, text]), np.zeros(200), np.zeros(200), np.zeros(0, np.int64), np.zeros(0))
-    assert all((a == b).all() for a, b in zip(X.class_counts(blank, [text]), X.class_counts(blank, [text] * 30)))
+    words = X.vocabulary_of([prose(3, 40)])
+    blank = X.KneserNeyPair(words, *[np.zeros(200)] * 2, np.zeros(0, np.int64), np.zeros(0))
+    ids = blank.word_ids(prose(3, 40))
+    assert all((a == b).all() for a, b in zip(X.class_counts([ids], 200), X.class_counts([ids] * 30, 200)))
+
+
+def test_corpus_counts_are_those_of_all_documents(spark, nasty, no_documents):
+    texts = [r["text"] for r in nasty.collect()]
+    words = [b"alpha", b"none", b"one", b"same"]
+    found, expected = X.corpus_counts(nasty, "text", words), corpus_of(texts, words)
+    assert (found.of == expected.of).all() and (found.tokens, found.words, found.once, found.twice) == (expected.tokens, expected.words, expected.once, expected.twice)
+    assert X.corpus_counts(no_documents, "text", words).tokens == 0
+
+
+def test_the_fitting_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "word " * (40 if k % 10 else 5_000)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, label int")
+    y, texts, _ = X.fit_rows(docs, labels, "label", 4, 2, "doc_id", "text", 1_000, 16_000)
+    assert {0, 1} == set(y.tolist()) and sum(map(len, texts)) <= 16_000 and max(map(len, texts)) == 200 and len(texts) > 20
 
 
 @pytest.mark.parametrize("fit,score", [(Q.fit_quality, Q.score_quality), (X.fit_toxicity, X.score_toxicity)])
