@@ -3,19 +3,21 @@
 Piece lengths are whole numbers up to the capacity, so a corpus of any size is a histogram of
 at most ``capacity`` entries. The driver completes bins on it: around the largest remaining
 length it enumerates undominated fillings, best fit first, pruned by the waste that the best
-one so far leaves; the filling is repeated as often as the histogram allows. A branch and
-bound over other fillings of the last bins follows where the total misses the lower bound.
+ones so far leave; a filling is repeated as often as the histogram allows. The first descent
+is the incumbent; where it misses the lower bound, branch and bound goes on over other fillings
+of the whole histogram, and leaves a branch as soon as its waste allows no better result.
 The plan is joined to the pieces by length and rank among equal lengths.
 
 Defined results: null texts are empty; an empty text is its end token alone; equal rows are
-packed each for itself; an empty table gives an empty plan. Strings of special tokens inside
-a text are ordinary text.
+packed each for itself; of pieces of one length any may take a place; very long texts are cut
+into pieces, which may lie in different sequences; an empty table gives an empty plan; other
+columns of documents don't matter, those of items stay as they are, whatever their names.
+Strings of special tokens in a text are these tokens, as the tokenizer's file has it.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, quoted, stored, table
 
 CAPACITY, END_TOKEN = 2048, 0
-#: Limits of the searches, in tried items: within one filling, and over the last bins.
-FILLING_NODES, TAIL_NODES, TAIL_ITEMS = 4_000, 40_000, 48
+#: Limits of the search, which is exponential in the worst case: tried items within one filling, fillings of one bin that are branched to, and bins tried after the first result.
+FILLING_NODES, BRANCHES, BIN_NODES = 4_000, 4, 300
+#: Bytes of token ids that a task holds before it passes them on.
+HELD_BYTES = 8 << 20
 
 
 # Tokens
@@ -42,13 +46,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file. Ids that follow the merges' order are found by a faster library; others, and texts it refuses, by the file's own."""
+    """Token ids of a byte-level BPE file. Ids that follow the merges' order are found by a faster library; others, texts it refuses and texts that hold an added token's string, by the file's own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added: list[str] = []
         self.fast = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -58,6 +62,7 @@ class Encoder:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
         special = {x["content"] for x in spec.get("added_tokens", ())}
+        self.added = sorted(special)
         merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
         vocabulary = model["vocab"]
         order = [vocabulary[m.replace(" ", "", 1)] for m in merges]
@@ -74,7 +79,7 @@ class Encoder:
     def __call__(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.fast is not None:
+        if self.fast is not None and not any(x in text for x in self.added):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # the library's panics on extreme texts aren't of class Exception
@@ -101,21 +106,29 @@ def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
         start, length = start + length, capacity
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
 def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
+    """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit numbers."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECES.types)], schema=PIECES)
+
     def rows(batches):
-        encode = encoder(tokenizer)
+        encode, out, held = encoder(tokenizer), [], 0
         for batch in batches:
-            out = []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*encode(x), end_token], "<u4")
-                out += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(ids, capacity))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PIECES.types)], schema=PIECES)
+                out += [(i, k, s, n, ids[s : s + n].tobytes()) for k, (s, n) in enumerate(cut(ids, capacity))]
+                held += ids.nbytes + 64
+                if held > HELD_BYTES:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if out:
+            yield batch_of(out)
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(quoted(ident).cast("long"), quoted(text)).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids binary")
 
 
 # Bin completion
@@ -124,26 +137,23 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's bound: the best over thresholds a of items that exclude each other, plus what the rest must spill."""
     n = np.zeros(capacity + 1, np.int64)
-    for size, k in counts.items():
-        n[size] = k
+    n[list(counts)] = list(counts.values())
     many, mass = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * np.arange(capacity + 1))))
-    best = -int(-mass[-1] // capacity)
-    for a in range(capacity // 2 + 1):
-        large = many[-1] - many[capacity - a + 1]
-        middle = many[capacity - a + 1] - many[capacity // 2 + 1]
-        room = middle * capacity - (mass[capacity - a + 1] - mass[capacity // 2 + 1])
-        small = mass[capacity // 2 + 1] - mass[a]
-        best = max(best, int(large + middle + max(0, -(-(small - room) // capacity))))
-    return best
+    half, a = capacity // 2 + 1, np.arange(capacity // 2 + 1)
+    top = capacity - a + 1
+    large, middle = many[-1] - many[top], many[top] - many[half]
+    small, room = mass[half] - mass[a], middle * capacity - (mass[top] - mass[half])
+    return int(max(-(-mass[-1] // capacity), (large + middle + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
-def fillings(counts: dict[int, int], room: int, nodes: int = FILLING_NODES, keep: int = 4) -> list[tuple[int, ...]]:
+def fillings(counts: dict[int, int], room: int, nodes: int = FILLING_NODES, keep: int = BRANCHES) -> list[tuple[int, ...]]:
     """Undominated fillings of a room, fullest first: larger items first, and nothing is tried that can't leave less waste than the best ``keep`` do.
 
     A filling is dominated if an item outside it fits in the place of a smaller one.
     """
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     left = [counts[s] for s in sizes]
+    most = np.cumsum([0, *(s * n for s, n in zip(sizes[::-1], left[::-1]))])[::-1].tolist()  # what the sizes from a place on can fill
     found: list[tuple[int, tuple[int, ...]]] = []
     tried = 0
 
@@ -165,6 +175,8 @@ def fillings(counts: dict[int, int], room: int, nodes: int = FILLING_NODES, keep
         k = resume[-1]
         while k < len(sizes) and (sizes[k] > room_left or not left[k]):
             k += 1
+        if k < len(sizes) and len(found) == keep and room_left - most[k] >= bound():
+            k, fits[-1] = len(sizes), True  # all that is left can't waste less
         if k < len(sizes) and not stop:
             resume[-1], fits[-1] = k + 1, True
             tried += 1
@@ -192,75 +204,60 @@ def fillings(counts: dict[int, int], room: int, nodes: int = FILLING_NODES, keep
 Pattern = tuple[int, tuple[int, ...]]
 
 
-def dive(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
-    """(repetitions, lengths) for bins completed one after another with the best filling; and where the last TAIL_ITEMS items began."""
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = BIN_NODES) -> list[Pattern]:
+    """Patterns of lengths with repetitions that use up the histogram: the best that branch and bound finds within its limits."""
+    if any(not 0 < s <= capacity for s in counts):
+        raise ValueError("lengths must be from 1 to the capacity")
     left = {s: n for s, n in counts.items() if n}
-    items, out, tail = sum(left.values()), [], 0
-    while left:
-        if items > TAIL_ITEMS:
-            tail = len(out) + 1
-        largest = max(left)
-        left[largest] -= 1
-        fill = fillings(left, capacity - largest, keep=1)[0]
-        left[largest] += 1
-        use = Counter((largest, *fill))
-        times = min(left[s] // n for s, n in use.items())
-        out.append((times, (largest, *fill)))
-        for s, n in use.items():
-            left[s] -= n * times
-            items -= n * times
+    bound, best, used, tried = lower_bound(left, capacity), None, 0, 0
+    path: list[Pattern] = []
+    result: list[Pattern] = []
+
+    def place(pattern: Pattern, times: int) -> None:
+        for s, n in Counter(pattern[1]).items():
+            left[s] = left.get(s, 0) - n * times
             if not left[s]:
                 del left[s]
-    return out, tail
 
-
-def branch(counts: dict[int, int], capacity: int, best: int, nodes: int = TAIL_NODES) -> list[Pattern] | None:
-    """Fewer than ``best`` bins for a few items, by depth-first search over undominated fillings; None if none were found."""
-    tried = 0
-
-    def search(left: dict[int, int], used: int, path: list[Pattern]) -> list[Pattern] | None:
-        nonlocal best, tried
-        if not left:
-            best = used
-            return list(path)
-        if tried >= nodes or used + lower_bound(left, capacity) >= best:
-            return None
-        largest, found = max(left), None
+    def choices() -> Iterator[Pattern]:
+        """Fillings around the largest length left, repeated as often as they can be. ``left`` is alike at each call."""
+        largest = max(left)
         rest = left | {largest: left[largest] - 1}
-        for fill in fillings(rest, capacity - largest, 500):
-            tried += 1
-            after = Counter(rest)
-            after.subtract(fill)
-            path.append((1, (largest, *fill)))
-            found = search({s: n for s, n in after.items() if n}, used + 1, path) or found
-            path.pop()
-            if tried >= nodes:
-                break
-        return found
-
-    return search({s: n for s, n in counts.items() if n}, 0, [])
-
-
-def complete_bins(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns of lengths with repetitions that use up the histogram."""
-    if any(not 0 < s <= capacity for s in counts):
-        raise ValueError("lengths must be from 1 to the capacity")
-    out, tail = dive(counts, capacity)
-    total = sum(n for n, _ in out)
-    if total > lower_bound(counts, capacity):
-        last = Counter()
-        for n, items in out[tail:]:
-            for s in items:
-                last[s] += n
-        better = branch(last, capacity, sum(n for n, _ in out[tail:]))
-        if better:
-            out[tail:] = better
-    return out
+        first = fillings(rest, capacity - largest, keep=1)[0]
+        times = {}
+        for fill in (first, None):
+            for items in [first] if fill is not None else [f for f in fillings(rest, capacity - largest) if f != first]:
+                times[items] = min(left[s] // n for s, n in Counter((largest, *items)).items())
+                yield times[items], (largest, *items)
+        if times[first] > 1:
+            yield 1, (largest, *first)
+
+    stack = [choices()] if left else []
+    while stack:
+        step = next(stack[-1], None) if best is None or (best > bound and tried < nodes) else None
+        if step is None:
+            stack.pop()
+            if path:
+                used -= path[-1][0]
+                place(path[-1], -path.pop()[0])
+            continue
+        tried += best is not None
+        path.append(step)
+        used += step[0]
+        place(step, step[0])
+        if not left and (best is None or used < best):
+            best, result = used, list(path)
+        if not left or (best is not None and used + lower_bound(left, capacity) >= best):
+            used -= step[0]
+            place(path.pop(), -step[0])
+            continue
+        stack.append(choices())
+    return result
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """The rows with sequence_id and offset. Items must be stored: they are read more than once and must be alike each time."""
-    counts = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most ``capacity`` rows
+    counts = {r[0]: r[1] for r in items.groupBy(quoted(length)).count().collect()}  # at most ``capacity`` rows
     plan, seen, first = [], Counter(), 0
     for times, use in complete_bins(counts, capacity):
         at = 0
@@ -270,32 +267,44 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
             at += n * s
         first += times
     spark = items.sparkSession
+    sequence, offset = fresh(items.columns, "sequence_id", "offset")
+    of, low, high, each, number, at, chunk, in_chunk, chunk_length, of_chunk, before, rank = fresh([*items.columns, sequence, offset], "plan_length", "low", "high", "each", "number", "at", "chunk", "in_chunk", "chunk_length", "of_chunk", "before", "rank")
     # The plan's size is bounded by the capacity: each pattern lowers min(count, capacity // length) of one of its lengths, and holds few lengths.
-    steps = spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "plan_length long, low long, high long, each long, first long, at long")
-    # Ranks among equal lengths in two steps, so that a length with very many items is spread over chunks.
-    total = sum(counts.values())
-    chunks = max(64, total // 1_000_000)
-    chunked = items.withColumn("chunk_", F.pmod(F.xxhash64(*[F.col(c) for c in items.columns]), F.lit(chunks)))
-    sizes = chunked.groupBy(F.col(length).alias("length_"), F.col("chunk_").alias("of_chunk_")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length_").orderBy("of_chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length_", "of_chunk_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_"))
-    in_chunk = Window.partitionBy(length, "chunk_").orderBy(*items.columns)
-    ranked = chunked.withColumn("in_chunk_", F.row_number().over(in_chunk) - 1)
-    joined = ranked.join(offsets, (F.col(length) == F.col("length_")) & (F.col("chunk_") == F.col("of_chunk_")))
-    rank = F.col("in_chunk_") + F.col("before_")
-    joined = joined.withColumn("rank_", rank).join(F.broadcast(steps), (F.col(length) == F.col("plan_length")) & (F.col("rank_") >= F.col("low")) & (F.col("rank_") < F.col("high")))
-    place = F.col("rank_") - F.col("low")
+    steps = spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], ", ".join(f"{c} long" for c in (of, low, high, each, number, at)))
+    # Ranks among equal lengths in two steps, so that a length with very many items is spread over chunks. Rows are shuffled once, to their chunk.
+    chunks = max(64, sum(counts.values()) // 1_000_000)
+    own = [quoted(c) for c in items.columns]
+    chunked = items.withColumn(chunk, F.pmod(F.xxhash64(*own), F.lit(chunks)))
+    sizes = chunked.groupBy(quoted(length).alias(chunk_length), quoted(chunk).alias(of_chunk)).agg(F.count("*").alias(rank))
+    earlier = Window.partitionBy(chunk_length).orderBy(of_chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(chunk_length, of_chunk, F.coalesce(F.sum(rank).over(earlier), F.lit(0)).alias(before))
+    ranked = chunked.withColumn(in_chunk, F.row_number().over(Window.partitionBy(quoted(length), chunk).orderBy(*own)) - 1)
+    joined = ranked.join(offsets, (quoted(length) == F.col(chunk_length)) & (F.col(chunk) == F.col(of_chunk))).withColumn(rank, F.col(in_chunk) + F.col(before))
+    joined = joined.join(F.broadcast(steps), (quoted(length) == F.col(of)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+    place = F.col(rank) - F.col(low)
     return joined.select(
-        *items.columns,
-        (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + F.pmod(place, F.col("each")) * F.col(length)).cast("long").alias("offset"),
+        *own,
+        (F.col(number) + F.floor(place / F.col(each))).cast("long").alias(sequence),
+        (F.col(at) + F.pmod(place, F.col(each)) * quoted(length)).cast("long").alias(offset),
     )
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of packed pieces: each sequence's token ids, in order."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most ``capacity`` tokens
+    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
     return pack(stored(pieces(docs, tokenizer, capacity=capacity), "pieces"), capacity)
 
 
+def with_digests(packed: DataFrame) -> DataFrame:
+    """The ids replaced by their CRC-32."""
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -303,4 +312,4 @@ def default_tokenizer() -> str:
 
 
 def op2_bin_completion(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+    return with_digests(pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()))

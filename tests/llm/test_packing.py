@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from lumenframe.llm.packing import complete_bins, cut, default_tokenizer, encoder, fillings, lower_bound, op2_bin_completion, pack, pack_documents
+from lumenframe.llm.packing import complete_bins, cut, default_tokenizer, encoder, fillings, lower_bound, op2_bin_completion, pack, pack_documents, sequences, with_digests
 
 from .conftest import prose
 
@@ -93,9 +94,11 @@ def test_fast_encoder_equals_the_file():
     r = random.Random(2)
     texts = ["", " ", "\n\n \t", "a<|endoftext|>b", "I'll 've 12345  ½ ٣ é😀 naïve", "x" * 20_000, " " * 3_000, prose(1, 500)]
     texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2FFF), r.randrange(0x1F300, 0x1F6FF), 10, 32])) for _ in range(300)) for _ in range(40)]
+    texts += ["<|endoftext|>", "x" * 5_000 + " <|endoftext|>\n<|endoftext", "<|endof text|>"]
+    file = Tokenizer.from_file(default_tokenizer())
     for t in texts:
-        assert encode(t) == encode.plain.encode(t, add_special_tokens=False).ids
-    assert encode(None) == []
+        assert encode(t) == file.encode(t, add_special_tokens=False).ids
+    assert encode(None) == [] and encode("a<|endoftext|>b") == [64, 50256, 65]
 
 
 def check_packed(rows, docs, capacity=2048):
@@ -119,7 +122,8 @@ def check_packed(rows, docs, capacity=2048):
 
 
 def test_nasty_documents(spark, clashing, no_documents):
-    rows = pack_documents(clashing, default_tokenizer()).collect()
+    packed = pack_documents(clashing, default_tokenizer())
+    rows = with_digests(packed).collect()
     assert check_packed(rows, clashing.collect()) >= -(-sum(r["length"] for r in rows) // 2048)
     assert pack_documents(no_documents, default_tokenizer()).count() == 0
 
@@ -132,7 +136,41 @@ def test_hot_lengths_are_spread(spark):
 
 def test_empty_texts_are_packed(spark):
     docs = spark.range(5_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', NULL) AS text")
-    assert check_packed(pack_documents(docs, default_tokenizer()).collect(), docs.collect()) == 3
+    assert check_packed(with_digests(pack_documents(docs, default_tokenizer())).collect(), docs.collect()) == 3
+
+
+def test_sequences_hold_the_documents_tokens(spark, nasty):
+    encode = encoder(default_tokenizer())
+    packed = pack_documents(nasty, default_tokenizer()).cache()
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in sequences(packed).collect()}
+    assert max(map(len, whole.values())) <= 2048
+    parts = collections.defaultdict(list)
+    for r in packed.collect():
+        assert (whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == np.frombuffer(r["ids"], "<u4")).all()
+        parts[r["doc_id"]].append((r["start"], r["ids"]))
+    for d in nasty.filter("doc_id in (0, 2, 4, 8, 9, -5)").collect():
+        assert b"".join(x for _, x in sorted(parts[d["doc_id"]])) == np.array([*encode(d["text"]), 0], "<u4").tobytes()
+
+
+def test_items_keep_columns_of_any_name(spark):
+    names = ["length", "low", "high", "each", "number", "at", "chunk", "in_chunk", "rank", "before", "offset", "sequence_id", "plan_length", "of_chunk"]
+    items = spark.createDataFrame([(5 + k % 4, *[k] * (len(names) - 1)) for k in range(50)], names)
+    rows = pack(items, 20).collect()
+    assert list(rows[0].asDict()) == [*names, "sequence_id_", "offset_"] and sorted(r["low"] for r in rows) == list(range(50))
+
+
+def test_the_search_leaves_the_first_descent():
+    # Best fit first takes 6 + 4 and so on; three bins need other fillings.
+    counts = collections.Counter([7, 6, 6, 5, 5, 4, 4, 4, 3, 3, 3, 2, 2, 2, 2, 2])
+    assert sum(n for n, _ in complete_bins(counts, 12)) == lower_bound(counts, 12) == 5
+    r = random.Random(8)
+    better = 0
+    for _ in range(60):
+        counts = collections.Counter(r.randrange(8, 34) for _ in range(24))
+        one, many = (sum(n for n, _ in complete_bins(counts, 60, nodes)) for nodes in (0, 400))
+        better += many < one
+        assert many <= one
+    assert better
 
 
 def test_op2_reaches_the_bound(spark):
