@@ -195,8 +195,8 @@ def transform(name: str, description: str, build: Callable[[DataFrame, Mapping[s
 
 def _load(kind: str, read: Callable[[Call, str], DataFrame], directory: bool = False) -> Callable[[Call], Response]:
     def run(call: Call) -> Response:
-        path = must_exist(text(call.params["path"]), call.engine.path_policy, directory)
-        scanned = tree_size(path, ".parquet") if directory else size_of(path)
+        path = must_exist(call.engine.spark, text(call.params["path"]), call.engine.path_policy, directory)
+        scanned = tree_size(call.engine.spark, path, ".parquet") if directory else size_of(call.engine.spark, path)
         return call.finish(read(call, path), str(call.params["dataset_id"]), f"{kind}:{path}", scanned)
 
     return run
@@ -217,7 +217,7 @@ def _load_delta(call: Call) -> Response:
     return _load("delta", lambda c, path: delta.read(c.engine.spark, path, to_int(version), moment), directory=True)(call)
 
 
-@operation("export", "Writes a dataset to a file or table.", DATASET, PATH, Param("format", required=True, allowed=writers.FORMATS), Param("partition_by", "array"), Param("compression"), Param("array", "boolean", default=False), Param("mode", allowed=("error", "append", "overwrite"), default="error"), Param("header", "boolean"), Param("delimiter"), Param("quote"), Param("escape"))
+@operation("export", "Writes a dataset to a file or table.", DATASET, PATH, Param("format", required=True, allowed=writers.FORMATS), Param("partition_by", "array"), Param("compression"), Param("array", "boolean", default=False), Param("many_files", "boolean", description="Parquet as a folder of files, written in parallel.", default=False), Param("mode", allowed=("error", "append", "overwrite"), default="error"), Param("header", "boolean"), Param("delimiter"), Param("quote"), Param("escape"))
 def _export(call: Call) -> Response:
     entry = call.dataset()
     writers.export(entry.frame, call.params, call.engine.path_policy)

@@ -21,7 +21,7 @@ from ..functions.casts import cast
 from ..params import to_bool, to_int
 from ..schema import project, quoted, resolve
 from ..typenames import parse
-from .paths import canonical, head, is_glob, is_remote, lines, local
+from .paths import canonical, head, is_glob, is_remote, lines, local, size_of
 
 DELIMITERS = (",", "\t", ";", "|")
 #: Characters of a CSV file that its dialect is guessed from; rows that types are inferred from.
@@ -65,6 +65,15 @@ def guess_header(sample: str, delimiter: str, quote: str) -> bool:
     return bool(rows) and all(_kind(x) == "text" for x in rows[0]) and len({x.strip().lower() for x in rows[0]}) == len(rows[0])
 
 
+def _has_open_lines(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether a quoted field may hold a line end: some line, of all of them, has an odd number of quotes."""
+    if not quote:
+        return False
+    line, q = F.col("value"), F.lit(quote)
+    quotes = F.length(line) - F.length(F.replace(line, q, F.lit("")))
+    return not spark.read.text(path).filter(line.contains(quote)).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
     """Dialect and header are guessed where they aren't given; types are inferred, hinted columns cast from text."""
     quote = p.get("quote")
@@ -85,7 +94,7 @@ def read_csv(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
     header = to_bool(p.get("header"))
     header = guess_header(sample, delimiter, quote) if header is None else header
     first = next(iter(_rows(sample, delimiter, quote)), [])
-    options = {"sep": delimiter, "quote": quote, "escape": quote, "header": header, "multiLine": any("\n" in x for r in _rows(sample, delimiter, quote) for x in r), "nullValue": p.get("null_string") or "", "encoding": "UTF-8", "mode": "FAILFAST"}
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "header": header, "multiLine": _has_open_lines(spark, path, quote), "nullValue": p.get("null_string") or "", "encoding": "UTF-8", "mode": "FAILFAST"}
     reader = spark.read.options(**options)
     names = [x if header and x else f"column{k}" for k, x in enumerate(first)]
     if not first:
@@ -141,6 +150,10 @@ def _infer_all(texts: DataFrame, names: list[str]) -> list[T.DataType]:
     return [next((kind for k, (kind, *_) in enumerate(_SHAPES) if found[f"n{i}"] and not found[f"x{i}_{k}"]), T.StringType()) for i in range(len(names))]
 
 
+#: Larger files of one array aren't read as one text, and so keep keys beyond the sample in alphabetical order.
+WHOLE_ARRAY = 1 << 30
+
+
 def read_json(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame:
     """An array of objects or one object a line; columns in the order in which the file names them."""
     sample = head(spark, path, SNIFFED)
@@ -148,10 +161,24 @@ def read_json(spark: SparkSession, path: str, p: Mapping[str, Any]) -> DataFrame
     array = sample.lstrip().startswith("[") if layout == "auto" else layout == "array"
     df = spark.read.option("multiLine", array).option("primitivesAsString", False).json(path)
     order = _key_order(sample, array)
+    if set(df.columns) - set(order):
+        order = _all_keys(spark, path, array) or order
     names = sorted(df.columns, key=lambda c: order.index(c) if c in order else len(order))
     return df.select(*[quoted(c) for c in names]) if names else df
 
 
+def _all_keys(spark: SparkSession, path: str, array: bool) -> list[str]:
+    """Keys of all objects, by where they stand first. One row for each key comes to the driver."""
+    if array:
+        if size_of(spark, path) > WHOLE_ARRAY:
+            return []
+        objects = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    else:
+        objects = spark.read.text(path)
+    keys = objects.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.json_object_keys("value")).alias("place", "key"))
+    return [r["key"] for r in keys.groupBy("key").agg(F.min(F.struct("row", "place")).alias("at")).orderBy("at").collect()]
+
+
 def _key_order(sample: str, array: bool) -> list[str]:
     """Keys of the first objects, as far as the sample holds whole ones."""
     decoder, order, text = json.JSONDecoder(), [], sample.lstrip()

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import shutil
 import uuid
 from collections.abc import Mapping
 from typing import Any
@@ -17,7 +14,8 @@ from ..errors import BACKEND_ERROR, INVALID_ARGUMENT, INVALID_TYPE, TARGET_EXIST
 from ..params import text, text_list, to_bool
 from ..schema import quoted, resolve
 from . import delta
-from .paths import PathPolicy, allow, local
+from .paths import PathPolicy, allow
+from .stores import Store, parent, replace, store_of
 
 FORMATS = ("csv", "parquet", "json", "delta")
 _CSV_ONLY = ("header", "delimiter", "quote", "escape")
@@ -34,6 +32,8 @@ def _check(df: DataFrame, p: Mapping[str, Any]) -> None:
             raise FrameError(INVALID_TYPE, f"Compression '{compression}' is not valid.", parameter="compression")
         if fmt in ("csv", "delta"):
             raise FrameError(INVALID_ARGUMENT, f"'compression' is not supported for {fmt}.")
+    if to_bool(p.get("many_files")) and fmt != "parquet":
+        raise FrameError(INVALID_ARGUMENT, "'many_files' is for parquet only.")
     if text_list("partition_by", p.get("partition_by")) and fmt in ("csv", "json"):
         raise FrameError(INVALID_ARGUMENT, f"'partition_by' is not supported for {fmt}.")
     for name in _CSV_ONLY:
@@ -50,31 +50,34 @@ def export(df: DataFrame, p: Mapping[str, Any], policy: PathPolicy | None = None
     if path is None:
         raise FrameError(INVALID_ARGUMENT, "'path' must not be empty.")
     allow(policy, path, write=True)
-    target = os.path.abspath(local(path))
+    store = store_of(df.sparkSession, path)
+    target = store.absolute(path)
     partition_by = [resolve(c, df.columns) for c in text_list("partition_by", p.get("partition_by"))]
-    if mode == "error" and os.path.lexists(target):
+    if mode == "error" and store.exists(target):
         raise FrameError(TARGET_EXISTS, f"'{path}' exists already.", path=path)
-    os.makedirs(os.path.dirname(target), exist_ok=True)
+    store.mkdirs(parent(target))
     if fmt == "delta":
         (delta.append if mode == "append" else delta.write_new)(df, target, partition_by)
         return
-    staging = f"{target}.tmp-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    staging = f"{target}.tmp-{tag}"
     try:
-        if fmt == "parquet" and partition_by:
-            df.write.option("compression", p.get("compression") or "snappy").partitionBy(*partition_by).parquet(staging)
-            _swap(staging, target)
+        if fmt == "parquet" and (partition_by or to_bool(p.get("many_files"))):
+            writer = df.write.option("compression", p.get("compression") or "snappy")
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(store.url(staging))
+            replace(store, staging, target, tag)
         elif fmt == "json" and to_bool(p.get("array")):
-            _write_array(df, staging)
-            _swap(staging, target)
+            _write_array(df, store, staging)
+            replace(store, staging, target, tag)
         else:
-            _one_file(df, staging, fmt, p)
-            _swap(_only_part(staging), target)
+            _one_file(df, store.url(staging), fmt, p)
+            replace(store, _only_part(store, staging), target, tag)
     finally:
-        shutil.rmtree(staging, ignore_errors=True) if os.path.isdir(staging) else os.path.exists(staging) and os.remove(staging)
+        store.delete(staging)
 
 
 def _one_file(df: DataFrame, folder: str, fmt: str, p: Mapping[str, Any]) -> None:
-    """A single file is what was asked for; partition_by or delta are for data that one writer can't hold."""
+    """A single file is what was asked for; partition_by, many_files or delta are for data that one writer can't hold."""
     writer = df.coalesce(1).write
     if fmt == "parquet":
         writer.option("compression", p.get("compression") or "snappy").parquet(folder)
@@ -87,36 +90,21 @@ def _one_file(df: DataFrame, folder: str, fmt: str, p: Mapping[str, Any]) -> Non
         writer.options(header=header is not False, sep=str(p.get("delimiter") or ","), quote=quote, escape=str(p.get("escape") or quote), emptyValue=quote + quote, nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(folder)
 
 
-def _only_part(folder: str) -> str:
-    parts = glob.glob(os.path.join(glob.escape(folder), "part-*"))
+def _only_part(store: Store, folder: str) -> str:
+    parts = [n for n in store.names(folder) if n.startswith("part-")]
     if len(parts) != 1:
         raise FrameError(BACKEND_ERROR, f"One output file was expected; there are {len(parts)}.")
-    return parts[0]
+    return f"{folder}/{parts[0]}"
 
 
-def _write_array(df: DataFrame, file: str) -> None:
+def _write_array(df: DataFrame, store: Store, file: str) -> None:
     """Objects of one array, passed through the driver a partition at a time."""
     rows = df.select(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}))
-    with open(file, "w", encoding="utf-8") as f:
-        f.write("[\n")
-        for k, r in enumerate(rows.toLocalIterator()):
-            f.write((",\n" if k else "") + "\t" + r[0])
-        f.write("\n]\n")
 
+    def parts():
+        yield "[\n"
+        for k, r in enumerate(rows.toLocalIterator()):
+            yield (",\n" if k else "") + "\t" + r[0]
+        yield "\n]\n"
 
-def _swap(new: str, target: str) -> None:
-    if os.path.isfile(new) and not os.path.isdir(target):
-        os.replace(new, target)
-        return
-    old = f"{target}.old-{uuid.uuid4().hex}"
-    moved = os.path.lexists(target)
-    if moved:
-        os.rename(target, old)
-    try:
-        os.rename(new, target)
-    except OSError:
-        if moved:
-            os.rename(old, target)
-        raise
-    if moved:
-        shutil.rmtree(old, ignore_errors=True) if os.path.isdir(old) else os.remove(old)
+    store.create(file, parts())

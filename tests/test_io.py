@@ -1,5 +1,6 @@
 """Files: CSV, JSON, Parquet and Delta tables, and what is refused."""
 
+import gzip
 import json
 import os
 import threading
@@ -7,6 +8,7 @@ import threading
 import pytest
 
 from lumenframe import Engine, errors
+from lumenframe.catalog import Dataset
 from lumenframe.sources import delta
 from lumenframe.sources.readers import guess_delimiter, guess_header
 
@@ -125,8 +127,9 @@ def test_delta_round_trip_append_and_time_travel(engine, spark, tmp_path):
     make(engine, spark, "t", [(1, "a"), (2, None)], "id long, s string")
     path = str(tmp_path / "tab")
     ok(engine, "export", dataset_id="t", path=path, format="delta")
-    first = delta.commits(path)[0]
-    stats = [json.loads(a["add"]["stats"]) for a in delta._actions(first) if "add" in a]
+    log = delta.Log(spark, path)
+    first = log.commits()[0]
+    stats = [json.loads(a["add"]["stats"]) for a in log.actions(first) if "add" in a]
     assert sum(s["numRecords"] for s in stats) == 2 and sum(s["nullCount"].get("s", 0) for s in stats) == 1
     ok(engine, "export", dataset_id="t", path=path, format="delta", mode="append")
     assert ok(engine, "load_delta", path=path, dataset_id="d").row_count == 4
@@ -140,7 +143,7 @@ def test_delta_round_trip_append_and_time_travel(engine, spark, tmp_path):
     assert code(engine, "export", dataset_id="u", path=path, format="delta", mode="append") == errors.SCHEMA_MISMATCH
     assert code(engine, "export", dataset_id="t", path=path, format="delta") == errors.TARGET_EXISTS
     ok(engine, "export", dataset_id="u", path=path, format="delta", mode="overwrite")
-    assert ok(engine, "load_delta", path=path, dataset_id="d").row_count == 1 and list(delta.commits(path)) == [0]
+    assert ok(engine, "load_delta", path=path, dataset_id="d").row_count == 1 and list(delta.Log(engine.spark, path).commits()) == [0]
     assert code(engine, "export", dataset_id="u", path=str(tmp_path / "new"), format="delta", mode="append") == errors.FILE_NOT_FOUND
     make(engine, spark, "nested", [([1],)], "xs array<int>")
     assert code(engine, "export", dataset_id="nested", path=str(tmp_path / "n"), format="delta") == errors.INVALID_TYPE
@@ -151,7 +154,7 @@ def test_delta_partitions(engine, spark, tmp_path):
     make(engine, spark, "t", [(1, "a b/c%", 5), (2, None, 6), (3, "z", 7)], "id long, k string, n int")
     path = str(tmp_path / "tab le")
     ok(engine, "export", dataset_id="t", path=path, format="delta", partition_by=["k"])
-    stats = {a["add"]["partitionValues"]["k"]: json.loads(a["add"]["stats"]) for a in delta._actions(delta.commits(path)[0]) if "add" in a}
+    stats = {a["add"]["partitionValues"]["k"]: json.loads(a["add"]["stats"]) for a in delta.Log(engine.spark, path).actions(delta.Log(engine.spark, path).commits()[0]) if "add" in a}
     assert {k: (s["numRecords"], s["minValues"]["n"]) for k, s in stats.items()} == {"a b/c%": (1, 5), None: (1, 6), "z": (1, 7)}
     ok(engine, "export", dataset_id="t", path=path, format="delta", mode="append")
     r = ok(engine, "load_delta", path=path, dataset_id="d")
@@ -208,8 +211,8 @@ def test_concurrent_appends(engine, spark, tmp_path):
         t.start()
     for t in threads:
         t.join()
-    assert not failed and sorted(delta.commits(path)) == list(range(7)) and ok(engine, "load_delta", path=path, dataset_id="d").row_count == 7
-    assert not delta._put_commit(os.path.join(path, "_delta_log"), 3, [])
+    assert not failed and sorted(delta.Log(engine.spark, path).commits()) == list(range(7)) and ok(engine, "load_delta", path=path, dataset_id="d").row_count == 7
+    assert not delta.Log(engine.spark, path).put(3, [])
 
 
 def test_stream_applies_stateless_steps(spark, tmp_path):
@@ -224,3 +227,55 @@ def test_stream_applies_stateless_steps(spark, tmp_path):
     assert sorted(r["t"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"N{k}" for k in range(5, 10)]
     with pytest.raises(FrameError):
         apply_stream(frame, [("dataframe_sort", {"by": [{"column": "id"}]})])
+
+
+def test_line_ends_in_quotes_are_found_wherever_they_are(engine, tmp_path):
+    file = tmp_path / "late.csv"
+    file.write_text("id,text\n" + "".join(f"{k},short\n" for k in range(12_000)) + '99999,"two\nlines"\n')
+    r = ok(engine, "load_csv", path=str(file), dataset_id="x")
+    assert r.row_count == 12_001 and ok(engine, "filter", dataset_id="x", into="y", predicate={"column": "id", "op": "eq", "value": 99999}).preview_rows == [{"id": 99999, "text": "two\nlines"}]
+
+
+def test_compressed_files(engine, tmp_path):
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
+        f.write("id;name\n" + "".join(f"{k};n{k}\n" for k in range(50)))
+    r = ok(engine, "load_csv", path=str(tmp_path / "a.csv.gz"), dataset_id="x")
+    assert r.row_count == 50 and [(c.name, c.type) for c in r.schema] == [("id", "BIGINT"), ("name", "VARCHAR")]
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write("".join(json.dumps({"z": k, "a": str(k)}) + "\n" for k in range(9)))
+    r = ok(engine, "load_json", path=str(tmp_path / "a.json.gz"), dataset_id="x")
+    assert r.row_count == 9 and [c.name for c in r.schema] == ["z", "a"]
+
+
+@pytest.mark.parametrize("array", [False, True])
+def test_late_json_keys_keep_their_order(engine, tmp_path, array):
+    rows = [{"z": "x" * 90, "a": k} for k in range(1_500)] + [{"z": "x", "a": 1, "y": 2, "b": 3}]
+    text = json.dumps(rows) if array else "".join(json.dumps(r) + "\n" for r in rows)
+    (tmp_path / "late.json").write_text(text)
+    assert [c.name for c in ok(engine, "load_json", path=str(tmp_path / "late.json"), dataset_id="x").schema] == ["z", "a", "y", "b"]
+
+
+@pytest.fixture
+def remote(engine, tmp_path):
+    """A folder by a scheme that the driver's own file functions can't open."""
+    conf = engine.spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.tests.link./data", f"file://{tmp_path}")
+    conf.set("fs.viewfs.impl.disable.cache", "true")
+    return "viewfs://tests/data"
+
+
+def test_remote_exports_and_loads(engine, remote, tmp_path):
+    engine.catalog.put(Dataset("d", engine.spark.createDataFrame([(k, f"n{k}", k % 2) for k in range(9)], "id long, name string, k int"), "test", 9))
+    for fmt, more in (("csv", {}), ("json", {}), ("json", {"array": True}), ("parquet", {}), ("parquet", {"many_files": True}), ("delta", {}), ("parquet", {"partition_by": ["k"]}), ("delta", {"partition_by": ["k"]})):
+        path = f"{remote}/out-{fmt}-{'-'.join(more)}"
+        ok(engine, "export", dataset_id="d", path=path, format=fmt, **more)
+        assert os.path.exists(path.replace(remote, str(tmp_path)))
+        assert code(engine, "export", dataset_id="d", path=path, format=fmt, **more) == errors.TARGET_EXISTS
+        ok(engine, "export", dataset_id="d", path=path, format=fmt, mode="overwrite", **more)
+        r = ok(engine, f"load_{fmt}", path=path, dataset_id="back")
+        assert r.row_count == 9 and {c.name for c in r.schema} == {"id", "name", "k"} and {(x["id"], x["k"]) for x in r.preview_rows} == {(k, k % 2) for k in range(9)}
+    ok(engine, "export", dataset_id="d", path=f"{remote}/out-delta-", format="delta", mode="append")
+    assert ok(engine, "load_delta", path=f"{remote}/out-delta-", dataset_id="two").row_count == 18
+    assert ok(engine, "load_delta", path=f"{remote}/out-delta-", dataset_id="one", version=0).row_count == 9
+    assert code(engine, "load_parquet", path=f"{remote}/nothing", dataset_id="x") == errors.FILE_NOT_FOUND
+    assert not [n for n in os.listdir(tmp_path) if "tmp-" in n or "old-" in n]
