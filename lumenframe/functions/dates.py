@@ -24,11 +24,13 @@ _YEARS = {"decade": 10, "century": 100, "millennium": 1000}
 _MICROS = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1_000, "microsecond": 1}
 
 # Accepted formats of strptime.
-FORMATS = frozenset(
-    """%Y-%m-%d|%Y/%m/%d|%Y.%m.%d|%Y%m%d|%m/%d/%Y|%m-%d-%Y|%d/%m/%Y|%d-%m-%Y|%d.%m.%Y|%d-%b-%y|%d-%b-%Y|%d %b %Y|%d %B %Y|%b %d, %Y|%B %d, %Y
-%Y-%m-%d %H:%M|%Y-%m-%d %H:%M:%S|%Y-%m-%d %H:%M:%S.%f|%Y-%m-%dT%H:%M|%Y-%m-%dT%H:%M:%S|%Y-%m-%dT%H:%M:%S.%f|%Y-%m-%dT%H:%M:%SZ|%Y-%m-%dT%H:%M:%S.%fZ
-%m/%d/%Y %H:%M|%m/%d/%Y %H:%M:%S|%d/%m/%Y %H:%M:%S|%Y%m%d%H%M%S|%H:%M|%H:%M:%S|%H:%M:%S.%f""".replace("\n", "|").split("|")
-)
+FORMATS = (
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
+    "%d-%b-%y", "%d-%b-%Y", "%d %b %Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y",
+    "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%fZ",
+    "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%Y%m%d%H%M%S", "%H:%M", "%H:%M:%S", "%H:%M:%S.%f",
+)
 
 
 def unit_of(a: Typed, allowed: Sequence[str] = tuple(_UNITS)) -> str:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.dates import FORMATS
 from .operators import grouping, joins, missing, quality, relational, reshape, windows
+from .schema import quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,9 +89,13 @@ chain("filter_comparisons", "lineitem", "SELECT l_orderkey, l_linenumber, l_quan
 chain("filter_in_between_not", "orders", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE (o_orderstatus IN ('F','O') OR o_totalprice BETWEEN 1000 AND 50000) AND NOT (o_orderpriority IN ('1-URGENT','5-LOW')) AND o_orderdate >= TIMESTAMP '1996-01-01'",
       ("filter", {"predicate": {"op": "and", "conditions": [{"op": "or", "conditions": [cond("o_orderstatus", "in", values=["F", "O"]), cond("o_totalprice", "between", low=1000, high=50000)]}, {"op": "not", "condition": cond("o_orderpriority", "in", values=["1-URGENT", "5-LOW"])}, cond("o_orderdate", "gte", "1996-01-01")]}}),
       keep("o_orderkey", "o_orderpriority", "o_totalprice"))
-chain("filter_text_ops", "part", "SELECT p_partkey, p_name, p_type FROM part WHERE p_type LIKE '%a%' AND p_name ILIKE '%A%' AND (starts_with(p_brand, 'Brand') OR ends_with(p_brand, '5')) AND (contains(p_name, 'e') OR regexp_matches(p_type, '^[A-Z]'))",
-      ("filter", {"predicate": {"op": "and", "conditions": [cond("p_type", "like", "%a%"), cond("p_name", "ilike", "%A%"), {"op": "or", "conditions": [cond("p_brand", "starts_with", "Brand"), cond("p_brand", "ends_with", "5")]}, {"op": "or", "conditions": [cond("p_name", "contains", "e"), cond("p_type", "matches", "^[A-Z]")]}]}}),
-      keep("p_partkey", "p_name", "p_type"))
+#: Operator, column, pattern, and SQL of the same condition. Each holds for some rows of the table and not for others.
+_TEXT_OPS = (
+    ("like", "p_type", "%ROM%", "p_type LIKE '%ROM%'"), ("ilike", "p_name", "%WID_ET", "p_name ILIKE '%WID_ET'"), ("starts_with", "p_brand", "Brand#1", "starts_with(p_brand, 'Brand#1')"),
+    ("ends_with", "p_brand", "5", "ends_with(p_brand, '5')"), ("contains", "p_name", "ol", "contains(p_name, 'ol')"), ("matches", "p_name", "^[a-l]+ w", "regexp_matches(p_name, '^[a-l]+ w')"),
+)
+for _op, _column, _pattern, _where in _TEXT_OPS:
+    chain(f"filter_{_op}", "part", f"SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE {_where}", ("filter", {"predicate": cond(_column, _op, _pattern)}), keep("p_partkey", "p_name", "p_brand", "p_type"))
 chain("filter_value_column", "lineitem", "SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount > l_tax AND l_linestatus < l_returnflag",
       ("filter", {"predicate": {"op": "and", "conditions": [cond("l_discount", "gt", value_column="l_tax"), cond("l_linestatus", "lt", value_column="l_returnflag")]}}), keep("l_orderkey", "l_linenumber", "l_discount", "l_tax"))
 chain("filter_nulls", "events", "SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM events) WHERE v IS NULL OR (v IS NOT NULL AND v > 50)",
@@ -109,9 +117,6 @@ _LAST_ORDER = "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SEL
 for _keep, _direction in (("first", "ASC"), ("last", "DESC")):
     chain(f"distinct_keep_{_keep}", "orders", _LAST_ORDER.format(_direction), keep("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
           ("distinct", {"columns": ["o_custkey"], "keep": _keep, "order_by": [col("o_orderdate"), col("o_orderkey")]}))
-chain("sample_rows", "customer", None, ("sample", {"n": 50, "seed": 7}))
-chain("hash_values", "customer", None, *columns(("h", fn("hash", col("c_name")))), keep("c_custkey", "h"))
-
 
 @query("union_all_positional", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def _union_all(spark, d):
@@ -158,14 +163,17 @@ chain("group_pairs", "lineitem", "SELECT l_linestatus, round(corr(l_quantity, l_
 chain("group_bools_product", "nation", "SELECT n_regionkey, bool_and(n_nationkey > 3) AS a, bool_or(n_nationkey > 20) AS o, product(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey",
       *columns(("a", {"op": "case", "when": [{"predicate": cond("n_nationkey", "gt", 3), "then": lit(True)}], "else": lit(False)}), ("o", {"op": "case", "when": [{"predicate": cond("n_nationkey", "gt", 20), "then": lit(True)}], "else": lit(False)}), ("k", fn("add", col("n_nationkey"), 1))),
       ("group_by", {"group_by": ["n_regionkey"], "aggregations": [_agg("bool_and", "a", "a"), _agg("bool_or", "o", "o"), _agg("product", "k", "p")]}))
-chain("group_list_mode", "nation", "SELECT n_regionkey, len(list(n_name)) AS n, max(r) AS m FROM (SELECT *, mode(n_regionkey) OVER (PARTITION BY n_regionkey) AS r FROM nation) GROUP BY n_regionkey",
-      ("group_by", {"group_by": ["n_regionkey"], "aggregations": [_agg("list", "n_name", "names"), _agg("mode", "n_regionkey", "m")]}), *columns(("n", fn("list_length", col("names")))), keep("n_regionkey", "n", "m"))
+chain("group_list", "nation", "SELECT n_regionkey, unnest(list(CASE WHEN n_nationkey % 4 > 0 THEN n_name END)) AS names FROM nation GROUP BY n_regionkey",
+      *columns(("k", fn("modulo", col("n_nationkey"), 4)), ("name", {"op": "case", "when": [{"predicate": cond("k", "gt", 0), "then": col("n_name")}]})),
+      ("group_by", {"group_by": ["n_regionkey"], "aggregations": [_agg("list", "name", "names")]}), ("unnest", {"column": "names"}))
+chain("group_mode", "orders", "SELECT o_orderstatus, mode(CASE WHEN o_orderkey % 3 > 0 THEN 'often' ELSE o_orderpriority END) AS m FROM orders GROUP BY o_orderstatus",
+      *columns(("k", fn("modulo", col("o_orderkey"), 3)), ("v", {"op": "case", "when": [{"predicate": cond("k", "gt", 0), "then": lit("often")}], "else": col("o_orderpriority")})),
+      ("group_by", {"group_by": ["o_orderstatus"], "aggregations": [_agg("mode", "v", "m")]}))
 chain("group_having", "orders", "SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND o_custkey > 100",
       ("group_by", {"group_by": ["o_custkey"], "aggregations": [_agg("count", "*", "n"), _agg("sum", "o_totalprice", "total")], "having": {"op": "and", "conditions": [cond("n", "gte", 12), cond("o_custkey", "gt", 100)]}}), *columns(("total", fn("round", col("total"), 2))))
 ORACLES["group_having"] = "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND o_custkey > 100"
 chain("group_total", "lineitem", "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS n FROM lineitem", ("group_by", {"group_by": [], "aggregations": [_agg("sum", "l_linenumber", "s"), _agg("count", "*", "n")]}))
-chain("group_first_last", "region", None, ("group_by", {"group_by": [], "aggregations": [_agg("first", "r_name"), _agg("last", "r_name")]}))
-chain("group_approx", "orders", None, ("group_by", {"group_by": ["o_orderstatus"], "aggregations": [_agg("approx_count_distinct", "o_custkey", "d"), _agg("approx_quantile", "o_totalprice", "q", q=0.5)]}))
+chain("group_first_last", "orders", "SELECT o_orderkey, first(o_orderpriority) AS f, last(o_totalprice) AS l FROM orders GROUP BY o_orderkey", ("group_by", {"group_by": ["o_orderkey"], "aggregations": [_agg("first", "o_orderpriority", "f"), _agg("last", "o_totalprice", "l")]}))
 chain("value_counts", "events", "SELECT event_type, count(*) AS count, count(*) / sum(count(*)) OVER () AS proportion FROM events GROUP BY event_type", ("value_counts", {"column": "event_type"}))
 chain("value_counts_limit", "customer", "SELECT c_nationkey, count(*) AS count, count(*) / sum(count(*)) OVER () AS proportion FROM customer GROUP BY c_nationkey ORDER BY count DESC, c_nationkey LIMIT 5", ("value_counts", {"column": "c_nationkey", "limit": 5}))
 
@@ -184,6 +192,20 @@ chain("window_rolling", "orders", f"SELECT o_orderkey, round(sum(o_totalprice) {
       *columns(("s", fn("round", col("s"), 2)), ("m", fn("round", col("m"), 4))), keep("o_orderkey", "s", "m", "lo", "hi", "n"))
 chain("window_total", "customer", "SELECT c_custkey, max(c_acctbal) OVER (PARTITION BY c_nationkey) AS top FROM customer", ("window", {"functions": [{"function": "max", "column": "c_acctbal", "alias": "top"}], "partition_by": ["c_nationkey"]}), keep("c_custkey", "top"))
 
+_AHEAD = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN {} AND {})"
+_FRAMES = (("1 FOLLOWING", "3 FOLLOWING", {"following": 1}, {"following": 3}), ("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING", "unbounded_preceding", "unbounded_following"), ("2 PRECEDING", "1 FOLLOWING", {"preceding": 2}, {"following": 1}), ("CURRENT ROW", "UNBOUNDED FOLLOWING", "current_row", "unbounded_following"), ("UNBOUNDED PRECEDING", "CURRENT ROW", "unbounded_preceding", "current_row"))
+chain("window_frames", "orders", "SELECT o_orderkey, " + ", ".join(f"count(o_orderkey) {_AHEAD.format(a, b)} AS n{k}, max(o_totalprice) {_AHEAD.format(a, b)} AS x{k}, first_value(o_orderkey) {_AHEAD.format(a, b)} AS f{k}, last_value(o_orderkey) {_AHEAD.format(a, b)} AS l{k}" for k, (a, b, _, _) in enumerate(_FRAMES)) + " FROM orders",
+      *[("window", {"functions": [{"function": "count", "column": "o_orderkey", "alias": f"n{k}"}, {"function": "max", "column": "o_totalprice", "alias": f"x{k}"}, {"function": "first_value", "column": "o_orderkey", "alias": f"f{k}"}, {"function": "last_value", "column": "o_orderkey", "alias": f"l{k}"}], "frame": {"start": a, "end": b}, **_BY_CUSTOMER}) for k, (_, _, a, b) in enumerate(_FRAMES)],
+      keep("o_orderkey", *[f"{c}{k}" for k in range(len(_FRAMES)) for c in "nxfl"]))
+for _nulls in ("first", "last"):
+    chain(f"window_nulls_{_nulls}", "events", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY v DESC NULLS {_nulls.upper()}, event_id) AS rn FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN value END AS v FROM events)",
+          *columns(("k", fn("modulo", col("user_id"), 2)), ("v", {"op": "case", "when": [{"predicate": cond("k", "eq", 0), "then": col("value")}]})),
+          ("window", {"functions": [{"function": "row_number", "alias": "rn"}], "partition_by": ["event_type"], "order_by": [desc("v") | {"nulls": _nulls}, col("event_id")]}), keep("event_id", "rn"))
+chain("window_unordered", "customer", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey) AS rk, dense_rank() OVER (PARTITION BY c_nationkey) AS dr, percent_rank() OVER (PARTITION BY c_nationkey) AS pr, count(c_custkey) OVER (PARTITION BY c_nationkey) AS n FROM customer",
+      ("window", {"functions": [{"function": "rank", "alias": "rk"}, {"function": "dense_rank", "alias": "dr"}, {"function": "percent_rank", "alias": "pr"}, {"function": "count", "column": "c_custkey", "alias": "n"}], "partition_by": ["c_nationkey"]}), keep("c_custkey", "rk", "dr", "pr", "n"))
+chain("window_unordered_numbers", "customer", "SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey) AS rn FROM customer",
+      ("window", {"functions": [{"function": "row_number", "alias": "rn"}], "partition_by": ["c_nationkey"]}), keep("c_nationkey", "rn"))
+
 # Joins
 
 
@@ -209,6 +231,11 @@ _join("join_asof_next", "events", "events", "SELECT p.event_id, p.user_id, p.ts,
       {"how": "asof", "left_on": ["user_id", "ts"], "right_on": ["user_id", "vts"], "asof_op": "<="}, (), _PURCHASES, _VIEWS)
 
 
+for _op, _name in ((">=", "latest"), ("<=", "next")):
+    _join(f"join_asof_{_name}_of_all", "events", "events", f"SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.ts {_op} v.ts",
+          {"how": "asof", "left_on": ["ts"], "right_on": ["vts"], "asof_op": _op}, (), _PURCHASES, (_VIEWS[0], ("select", {"columns": [{"column": "ts", "as": "vts"}, {"column": "event_id", "as": "view_id"}]})))
+
+
 @query("revenue_by_nation", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def _revenue(spark, d):
     lines = run(table(spark, d, "lineitem"), *columns(("net", fn("multiply", col("l_extendedprice"), fn("subtract", 1, col("l_discount"))))), keep("l_orderkey", "net"))
@@ -228,7 +255,17 @@ chain("pivot_several", "orders", f"SELECT o_orderpriority, {_CELLS} FROM orders
       *columns(*[(f"{s}_total", fn("round", col(f"{s}_total"), 2)) for s in "FOP"]))
 chain("unpivot_nulls", "lineitem", "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, 'l_quantity' AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', nullif(l_discount, 0.0) FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', nullif(l_tax, 0.0) FROM lineitem) WHERE value IS NOT NULL",
       *columns(("l_discount", fn("nullif", col("l_discount"), 0.0)), ("l_tax", fn("nullif", col("l_tax"), 0.0))), ("unpivot", {"id_columns": ["l_orderkey", "l_linenumber"], "value_columns": ["l_quantity", "l_discount", "l_tax"]}))
-chain("unnest_list", "embeddings", "SELECT vec_id, label, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 20", ("filter", {"predicate": cond("vec_id", "lt", 20)}), ("unnest", {"column": "embedding"}))
+chain("unnest_list", "embeddings", "SELECT vec_id, label, unnest(embedding) AS embedding FROM embeddings", ("unnest", {"column": "embedding"}))
+
+
+
+@query("struct_fields", "SELECT n_nationkey, n_name AS a, n_nationkey * 2 AS b, n_name AS name, n_nationkey * 2 AS twice FROM nation")
+def _structs(spark, d):
+    """A struct's fields by expression, and all of them by unnest."""
+    nested = table(spark, d, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") * 2).alias("twice")).alias("s"))
+    picked = columns(("a", {"op": "struct_field", "field": "NAME", "args": [col("s")]}), ("b", {"op": "struct_field", "field": "twice", "args": [col("s")]}))
+    return run(nested, *picked, ("unnest", {"column": "s"}))
+
 
 # Missing data
 
@@ -241,6 +278,9 @@ for _method, _pick, _rows in (("ffill", "last_value", "UNBOUNDED PRECEDING AND C
           ("fillna", {"method": _method, "order_by": ["ts", "event_id"], "partition_by": ["user_id"], "columns": ["v"]}))
 chain("dropna_any", "events", f"SELECT event_id, user_id, ts, v FROM {_GAPS_SQL} WHERE v IS NOT NULL", *_GAPS, _GAP_KEYS, ("dropna", {"columns": ["v", "user_id"]}))
 
+chain("dropna_all", "events", f"SELECT event_id, v, w FROM (SELECT event_id, v, CASE WHEN user_id > 5 THEN user_id END AS w FROM {_GAPS_SQL}) WHERE v IS NOT NULL OR w IS NOT NULL", *_GAPS,
+      *columns(("w", {"op": "case", "when": [{"predicate": cond("user_id", "gt", 5), "then": col("user_id")}]})), keep("event_id", "v", "w"), ("dropna", {"columns": ["v", "w"], "how": "all"}))
+
 # Functions
 
 
@@ -283,21 +323,56 @@ _functions("functions_date_part", "events", "event_id", {u: (fn("date_part", u,
 _functions("functions_date_trunc", "events", "event_id", {f"t_{u}": (fn("date_trunc", u + "s", col("ts")), f"CAST(date_trunc('{u}', ts) AS TIMESTAMP)") for u in _UNITS if u not in ("century", "microsecond")})
 _functions("functions_date_diff", "lineitem", "l_orderkey", {f"d_{u}": (fn("date_diff", u, fn("strptime", "1995-06-17 11:30:00", "%Y-%m-%d %H:%M:%S"), col("l_shipdate")), f"date_diff('{u}', TIMESTAMP '1995-06-17 11:30:00', l_shipdate)") for u in ("year", "quarter", "month", "day", "hour", "minute", "second")})
 _functions("functions_date_add", "orders", "o_orderkey", {f"a_{u}": (fn("date_add", u, 5, col("o_orderdate")), f"CAST(o_orderdate + INTERVAL 5 {u} AS TIMESTAMP)") for u in ("year", "month", "day", "hour", "minute", "second")})
-_functions("functions_strptime", "orders", "o_orderkey", {
-    "a": (fn("strptime", fn("cast", fn("cast", col("o_orderdate"), to="DATE"), to="VARCHAR"), "%Y-%m-%d"), "strptime(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '%Y-%m-%d')"),
-    "b": (fn("strptime", "5 Mar 2021", "%d %b %Y"), "strptime('5 Mar 2021', '%d %b %Y')"), "c": (fn("strptime", "07-Jan-69", "%d-%b-%y"), "strptime('07-Jan-69', '%d-%b-%y')"), "d": (fn("strptime", "13:45", "%H:%M"), "strptime('13:45', '%H:%M')"),
-    "e": (fn("strptime", "2020-02-03T04:05:06.25Z", "%Y-%m-%dT%H:%M:%S.%fZ"), "strptime('2020-02-03T04:05:06.25Z', '%Y-%m-%dT%H:%M:%S.%fZ')"),
-})
+_FAR = ("week", "decade", "century", "millennium", "millisecond", "microsecond")
+for _sign, _edge in (("before", "1899-11-30 22:10:05.25"), ("after", "2031-05-06 07:08:09.000001")):
+    _functions(f"functions_date_diff_{_sign}", "events", "event_id", {f"d_{u}": (fn("date_diff", u, fn("strptime", _edge, "%Y-%m-%d %H:%M:%S.%f"), col("ts")), f"date_diff('{u}', TIMESTAMP '{_edge}', ts)") for u in (*_FAR, "year", "quarter", "month", "day", "hour", "minute", "second")})
+
+#: Java's letters for those of strptime, to write the texts that are read.
+_LETTERS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%b": "MMM", "%B": "MMMM"}
+_FORMATS = sorted(FORMATS)
+
+
+def _java(fmt: str) -> str:
+    out = re.sub("([TZ])", r"'\1'", fmt)
+    return re.sub("%[a-zA-Z]", lambda m: _LETTERS[m[0]], out)
+
+
+@query("functions_strptime", "SELECT event_id, " + ", ".join(f"strptime(strftime(ts + INTERVAL (event_id % 40000) DAY, '{f}'), '{f}') AS t{k}" for k, f in enumerate(_FORMATS)) + " FROM events")
+def _strptime(spark, d):
+    """All formats, on texts written in them from times of more than a century."""
+    ts = F.col("ts") + F.make_dt_interval(days=(F.col("event_id") % 40000).cast("int"))
+    texts = table(spark, d, "events").select("event_id", *[F.date_format(ts, _java(f)).alias(f"x{k}") for k, f in enumerate(_FORMATS)])
+    return run(texts, *columns(*[(f"t{k}", fn("strptime", col(f"x{k}"), f)) for k, f in enumerate(_FORMATS)]), keep("event_id", *[f"t{k}" for k in range(len(_FORMATS))]))
+
 
 # Inspection
 
 
-@query("profile_numbers", """SELECT 'l_quantity' AS "column", 'DOUBLE' AS type, 0 AS null_count, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, max(l_quantity) AS max, quantile_cont(l_quantity, 0.25) AS q_0_25, quantile_cont(l_quantity, 0.5) AS q_0_5 FROM lineitem
-UNION ALL SELECT 'l_tax', 'DOUBLE', 0, count(l_tax), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6), min(l_tax), max(l_tax), quantile_cont(l_tax, 0.25), quantile_cont(l_tax, 0.5) FROM lineitem""")
+#: Table, column, type as a profile names it, and whether it has a mean and quantiles.
+_PROFILED = (("lineitem", "l_quantity", "DOUBLE", True), ("lineitem", "l_linenumber", "INTEGER", True), ("lineitem", "l_returnflag", "VARCHAR", False), ("lineitem", "l_shipdate", "TIMESTAMP", False), ("events", "v", "DOUBLE", True))
+_PROFILE_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{kind}' AS type, count(*) - count({c}) AS null_count, count(*) AS "rows", count({c}) AS count, {f"round(avg({c}), 6)" if number else "CAST(NULL AS DOUBLE)"} AS mean, {f"round(stddev_samp({c}), 6)" if number else "NULL"} AS std, CAST(min({c}) AS {"DOUBLE" if number else "VARCHAR"})::VARCHAR AS min, CAST(max({c}) AS {"DOUBLE" if number else "VARCHAR"})::VARCHAR AS max, {f"quantile_cont({c}, 0.25)" if number else "NULL"} AS q_0_25, {f"quantile_cont({c}, 0.5)" if number else "NULL"} AS q_0_5, true AS distinct_is_near FROM {t if t != "events" else "(SELECT CASE WHEN event_type <> 'error' THEN value END AS v FROM events)"}"""
+    for t, c, kind, number in _PROFILED
+)
+
+
+def _shown(x: Any) -> str | None:
+    return None if x is None else str(float(x)) if isinstance(x, (int, float)) else str(x).replace("T", " ")
+
+
+@query("profile", _PROFILE_SQL)
 def _profile(spark, d):
-    rows = quality.profile(table(spark, d, "lineitem"), {"columns": ["l_quantity", "l_tax"], "quantiles": [0.25, 0.5]})
-    out = [(r["column"], r["type"], r["null_count"], r["count"], round(r["mean"], 6), round(r["std"], 6), r["min"], r["max"], r["q_0.25"], r["q_0.5"]) for r in rows]
-    return spark.createDataFrame(out, '`column` string, type string, null_count int, count long, mean double, std double, min double, max double, q_0_25 double, q_0_5 double')
+    """Numbers, texts and times, with nulls; the distinct count is an estimate, so it is compared within 10 %."""
+    frames = {"lineitem": table(spark, d, "lineitem"), "events": run(table(spark, d, "events"), *_GAPS)}
+    out = []
+    for t, df in frames.items():
+        names = [c for of, c, _, _ in _PROFILED if of == t]
+        exact = df.agg(F.count("*").alias("rows"), *[F.count_distinct(quoted(c)).alias(c) for c in names]).first()
+        for r in quality.profile(df, {"columns": names, "quantiles": [0.25, 0.5]}):
+            mean, std = (None if r[k] is None else round(r[k], 6) for k in ("mean", "std"))
+            near = abs(r["distinct_count"] - exact[r["column"]]) <= 0.1 * exact[r["column"]]
+            out.append((r["column"], r["type"], r["null_count"], exact["rows"], r["count"], mean, std, _shown(r["min"]), _shown(r["max"]), r.get("q_0.25"), r.get("q_0.5"), near))
+    return spark.createDataFrame(out, "`column` string, type string, null_count long, `rows` long, count long, mean double, std double, min string, max string, q_0_25 double, q_0_5 double, distinct_is_near boolean")
 
 
 @query("assert_report", """SELECT 'not_null' AS expectation, 'o_custkey' AS "column", count(*) = 0 AS passed, count(*) AS violations FROM orders WHERE o_custkey IS NULL

@@ -11,8 +11,9 @@ import sys
 import duckdb
 import pytest
 
-from lumenframe import queries
+from lumenframe import engine_queries, queries
 
+assert engine_queries
 SF = "/root/testdata/sf0.001"
 
 
