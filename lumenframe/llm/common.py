@@ -57,8 +57,8 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def dealt(df: DataFrame, keys: list[str], text: str, group: str, least: int = 4 << 20, most: int = 16 << 20) -> tuple[DataFrame, int]:
-    """The rows with a column ``group``: the hashed keys deal them into groups of about as many bytes of text, 4 to 16 MB, the more the larger the table is. And all bytes.
+def dealt(df: DataFrame, keys: list[str], text: str, group: str, least: int = 4 << 20, most: int = 16 << 20) -> tuple[DataFrame, int, int]:
+    """The rows with a column ``group``: the hashed keys deal them into groups of about as many bytes of text, 4 to 16 MB, the more the larger the table is. And all bytes, and the number of groups.
 
     Operators that ask the corpus about a row's content group it like this once and send
     messages between groups; Spark reuses the one exchange of texts in each step.
@@ -66,4 +66,4 @@ def dealt(df: DataFrame, keys: list[str], text: str, group: str, least: int = 4
     total = df.agg(F.sum(utf8_size(quoted(text)))).first()[0] or 0
     per_group = min(max(total // 4096, least), most)
     groups = max(1, -(-total // per_group))
-    return df.withColumn(group, F.pmod(F.xxhash64(F.lit(17), *[quoted(k) for k in keys]), F.lit(groups))), total
+    return df.withColumn(group, F.pmod(F.xxhash64(F.lit(17), *[quoted(k) for k in keys]), F.lit(groups))), total, groups

@@ -1,7 +1,6 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by T-occurrence search.
 
-Two sets link if 100 * intersection >= threshold * union. Everything below is exact but for
-64-bit hashes standing for shingles.
+Two sets link if 100 * intersection >= threshold * union.
 
 1. Documents with equal sets are one class; from here on the least id stands for it.
 2. With any common order of shingles, linked sets share the first l of those they have in
@@ -23,7 +22,11 @@ Two sets link if 100 * intersection >= threshold * union. Everything below is ex
 
 Defined results: null text and text without words have an empty set and link with nothing;
 a null id links with nothing and has no component; rows with equal ids are one document
-with several texts; other columns don't matter.
+with several texts; repeated rows and ties have one class, for which the least id stands; very
+long texts are read whole; an empty table gives an empty table; other columns don't matter.
+
+Exact but for hashes: 64 bits stand for a shingle. The filters count shingles by 40 of these
+bits, so that some that aren't shared may count as shared: this only lets more through.
 """
 
 from __future__ import annotations
@@ -43,13 +46,15 @@ from pyspark.sql import functions as F
 
 from .common import dealt, fresh, quoted, stored, table
 from .components import components
-from .packed import bucket_slices, distinct, member, pack, pack_bits, pack_sorted, shared_bits, unpack, unpack_bits, unpack_sorted
+from .packed import FAN, KEYS, Dealing, KeySet, bucket_slices, distinct, exchange_keys, member, pack, pack_bits, pack_sorted, range_of, unpack, unpack_bits, unpack_sorted
 
 #: Words of a shingle; hundredths of the union that linked sets share.
 WORDS, THRESHOLD = 5, 75
 #: Documents and shingles that one search task holds.
 TASK_DOCS, TASK_SHINGLES = 4_000, 4_000_000
 GROUP_BYTES = 4 << 20
+#: Classes that at least this share of all rows are in are broadcast with their least id.
+HOT_SHARE = 0.001
 #: Weight of DivideSkip's rule for the number of long lists.
 SKIP_WEIGHT = 0.0085
 #: In place of a leader.
@@ -94,9 +99,9 @@ def head_common(n: int) -> int:
 
 
 def head(s: np.ndarray, threshold: int) -> np.ndarray:
-    """The first shingles, as 40-bit keys."""
+    """The first shingles, as 40-bit keys, one for each shingle."""
     n = len(s)
-    return distinct(s[: n - needed(n, threshold) + head_common(n)] >> _HIGH)
+    return s[: n - needed(n, threshold) + head_common(n)] >> _HIGH
 
 
 def linked(a: int, b: int, overlap: int, threshold: int) -> bool:
@@ -108,58 +113,22 @@ def digest_of(s: np.ndarray) -> bytes:
 
 
 class Group:
-    """Distinct non-empty sets of a group of documents, each with its least id, in the order of their digests. Rows with an id in ``skip`` are left out."""
+    """Distinct non-empty sets of a group of documents, each with its least id, in the order of their digests. Ids and sets in ``skip`` are left out."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], words: int, skip: set[int]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], words: int, skip: set[bytes]):
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, t in zip(ids, texts):
-            if i is None or i in skip:
+            if i is None:
                 continue
             s = shingles(t, words)
             if len(s):
                 d = digest_of(s)
-                if d not in sets or i < sets[d][0]:
+                if b"%d|%s" % (i, d) not in skip and (d not in sets or i < sets[d][0]):
                     sets[d] = i, s
         self.sets = [sets[d][1] for d in sorted(sets)]
         self.ids = np.array([sets[d][0] for d in sorted(sets)], np.int64)
 
 
-def range_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
-
-
-class Keys:
-    """The 40-bit keys of several sets: ascending and distinct, and which of them several sets have."""
-
-    def __init__(self, parts: list[np.ndarray], buckets: int):
-        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
-        new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-        self.keys, self.several, self.buckets = every[new], np.diff(new, append=len(every)) > 1, buckets
-
-    def parts(self) -> Iterator[tuple[int, slice]]:
-        return bucket_slices(range_of(self.keys, self.buckets)) if len(self.keys) else iter(())
-
-    def message(self, sender: int) -> pa.Table:
-        out = [(b, pack_sorted(self.keys[part]), pack_sorted(self.keys[part][self.several[part]])) for b, part in self.parts()]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([sender] * len(out), pa.int64()), "a": pa.array([x[1] for x in out], pa.binary()), "b": pa.array([x[2] for x in out], pa.binary())})
-
-    def shared(self, answers: pa.Table) -> np.ndarray:
-        """The keys that the answers' bits mark."""
-        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
-        return np.concatenate([np.zeros(0, np.uint64), *(self.keys[part][unpack_bits(bits[b], part.stop - part.start)] for b, part in self.parts())])
-
-
-MESSAGE = "bucket long, sender long, a binary, b binary"
-
-
-def answer(t: pa.Table) -> pa.Table:
-    """To each sender's keys in a bucket, which of them another set has too."""
-    return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "bits": pa.array(shared_bits(t.column("a").to_pylist(), t.column("b").to_pylist()), pa.binary())})
-
-
-ANSWER = "receiver long, bucket long, bits binary"
-
-
 # T-occurrence search
 
 
@@ -237,26 +206,14 @@ class Search:
                     self.connect(q, d)
 
 
-LINKS = "u long, v long, rest_id long, rest_size long, rest_set binary"
-
-
-def _links(u: list[int], v: list[int], rest: list[tuple[int, int, bytes]] = ()) -> pa.Table:
-    n, m = len(u), len(rest)
-    return pa.table({"u": pa.array([*u, *[None] * m], pa.int64()), "v": pa.array([*v, *[None] * m], pa.int64()), "rest_id": pa.array([*[None] * n, *(r[0] for r in rest)], pa.int64()), "rest_size": pa.array([*[None] * n, *(r[1] for r in rest)], pa.int64()), "rest_set": pa.array([*[None] * n, *(r[2] for r in rest)], pa.binary())})
-
-
-def _search_of(t: pa.Table, threshold: int) -> Search:
-    ids, sizes, raw = (t.column(c).to_pylist() for c in ("doc", "size", "keys"))
-    order = sorted(dict(zip(zip(ids, raw), range(len(ids)))).values(), key=lambda k: (ids[k], raw[k]))
-    return Search(np.array([ids[k] for k in order], np.int64), np.array([sizes[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order], threshold)
-
-
-def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORDS, threshold: int = THRESHOLD, task_docs: int = TASK_DOCS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def find_links(rows: DataFrame, skip: DataFrame, dealing: Dealing, words: int = WORDS, threshold: int = THRESHOLD, task_docs: int = TASK_DOCS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """(u, v): links that connect all classes of documents that links connect.
 
-    rows: (doc_id, text, grp), dealt into groups. skip: (receiver, skipped), ids of group ``receiver`` for which another id stands.
+    rows: (doc_id, text, grp), dealt into groups. skip: (receiver, skipped), ids with digests of group ``receiver`` for which another id stands.
     """
 
+    buckets = dealing.coarse
+
     def number_of(*tables: pa.Table) -> int:
         return next(t.column(name)[0].as_py() for t, name in zip(tables, ("grp" if "grp" in tables[0].column_names else "sender", "receiver")) if t.num_rows)
 
@@ -264,17 +221,20 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         skipped = set(messages.column("skipped").drop_null().to_pylist())
         return Group(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), words, skipped)
 
+    def key_set(parts: list[np.ndarray]) -> KeySet:
+        return KeySet.of([distinct(x) for x in parts], buckets)
+
     def heads_of(own: Group) -> list[np.ndarray]:
         return [head(s, threshold) for s in own.sets]
 
     def send_heads(t: pa.Table, messages: pa.Table) -> pa.Table:
-        return Keys(heads_of(group_of(t, messages)), buckets).message(number_of(t, messages))
+        return key_set(heads_of(group_of(t, messages))).message(number_of(t, messages))
 
     def keep_left(t: pa.Table, messages: pa.Table) -> pa.Table:
         """The sets of documents with enough of their heads shared."""
         own = group_of(t, messages)
         heads = heads_of(own)
-        shared = Keys(heads, buckets).shared(messages.filter(pc.is_valid(messages.column("bits"))))
+        shared = key_set(heads).shared(messages.filter(pc.is_valid(messages.column("bits"))))
         left = [k for k, h in enumerate(heads) if member(h, shared).sum() >= min(head_common(needed(len(own.sets[k]), threshold)), len(h))]
         return pa.table({"sender": pa.array([number_of(t, messages)] * len(left), pa.int64()), "doc": pa.array(own.ids[left]), "keys": pa.array([own.sets[k].tobytes() for k in left], pa.binary())})
 
@@ -284,8 +244,8 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         order = sorted(range(len(ids)), key=lambda k: (ids[k], raw[k]))
         return np.array([ids[k] for k in order], np.int64), [np.frombuffer(raw[k], np.uint64) for k in order]
 
-    def keys_of(sets: list[np.ndarray]) -> Keys:
-        return Keys([distinct(s >> _HIGH) for s in sets], buckets)
+    def keys_of(sets: list[np.ndarray]) -> KeySet:
+        return key_set([s >> _HIGH for s in sets])
 
     def send_all(t: pa.Table) -> pa.Table:
         return keys_of(left_of(t)[1]).message(t.column("sender")[0].as_py())
@@ -311,27 +271,41 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
         order = np.lexsort((i, key))
         return key[order], i[order], n[order]
 
+    def rare_messages(key: np.ndarray, i: np.ndarray, several: np.ndarray, sender: int, buckets: int) -> pa.Table:
+        """Ascending keys, each with its least id and whether several sets have it."""
+        out = [(b, pack_sorted(key[part]), pack(i[part]), pack_bits(several[part])) for b, part in (bucket_slices(range_of(key, buckets)) if len(key) else ())]
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([sender] * len(out), pa.int64()), **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in ((1, "a"), (2, "b"), (3, "c"))}})
+
     def send_rare(t: pa.Table, answers: pa.Table) -> pa.Table:
-        """Each key once for the group, with its least id and whether several sets have it."""
         key, i, _ = rare_of(t, answers)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        several, key, i, g = np.diff(new, append=len(key)) > 1, key[new], i[new], number_of(t, answers)
-        out = [(b, pack_sorted(key[part]), pack(i[part]), pack_bits(several[part])) for b, part in (bucket_slices(range_of(key, buckets)) if len(key) else ())]
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in ((1, "a"), (2, "b"), (3, "c"))}})
+        return rare_messages(key[new], i[new], np.diff(new, append=len(key)) > 1, number_of(t, answers), buckets)
 
-    def choose_leaders(t: pa.Table) -> pa.Table:
-        """To each group its keys' leaders, the least ids that have them; none (the highest number) where one set only has the key."""
+    def gathered(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Each sender's keys; of all, ascending: the distinct keys, their least ids, and whether several sets have them."""
         keys, ids = [unpack_sorted(x) for x in t.column("a").to_pylist()], [unpack(x, np.int64) for x in t.column("b").to_pylist()]
         several = np.concatenate([unpack_bits(x, len(k)) for x, k in zip(t.column("c").to_pylist(), keys)])
         key, i = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        count = np.diff(cuts, append=len(key))
-        met = (count > 1) | np.logical_or.reduceat(several[order], cuts)
-        leader = np.empty(len(key), np.int64)
-        leader[order] = np.repeat(np.where(met, np.minimum.reduceat(i[order], cuts), NONE), count)
-        parts = np.split(leader, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "leaders": pa.array([pack(x) for x in parts], pa.binary())})
+        met = (np.diff(cuts, append=len(key)) > 1) | np.logical_or.reduceat(several[order], cuts)
+        return keys, key[order][cuts], np.minimum.reduceat(i[order], cuts), met
+
+    def tell(t: pa.Table, keys: list[np.ndarray], known: np.ndarray, leader: np.ndarray) -> pa.Table:
+        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "leaders": pa.array([pack(leader[np.searchsorted(known, k)]) for k in keys], pa.binary())})
+
+    def choose_leaders(t: pa.Table) -> pa.Table:
+        """To each sender its keys' leaders, the least ids that have them; none (the highest number) where one set only has the key."""
+        keys, known, least, met = gathered(t)
+        return tell(t, keys, known, np.where(met, least, NONE))
+
+    def merge_rare(t: pa.Table, node: int) -> pa.Table:
+        _, known, least, met = gathered(t)
+        return rare_messages(known, least, met, node, dealing.coarse * dealing.fine)
+
+    def split_leaders(t: pa.Table, told: pa.Table) -> pa.Table:
+        keys, known, _, _ = gathered(t)
+        return tell(t, keys, known, np.concatenate([unpack(x, np.int64) for x in told.column("leaders").to_pylist()]))
 
     def list_leaders(t: pa.Table, messages: pa.Table) -> pa.Table:
         """(leader, doc, receiver, size), each once, of a group's documents."""
@@ -391,12 +365,12 @@ def find_links(rows: DataFrame, skip: DataFrame, buckets: int, words: int = WORD
 
     none = lambda kind: F.lit(None).cast(kind)
     grouped = rows.groupBy("grp")
-    heads = grouped.cogroup(skip.groupBy("receiver")).applyInArrow(send_heads, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
-    messages = heads.select("*", none("long").alias("skipped")).unionAll(skip.select("receiver", none("long"), none("binary"), "skipped"))
+    heads = exchange_keys(grouped.cogroup(skip.groupBy("receiver")).applyInArrow(send_heads, KEYS), dealing)
+    messages = heads.select("*", none("binary").alias("skipped")).unionAll(skip.select("receiver", none("long"), none("binary"), "skipped"))
     left = stored(grouped.cogroup(messages.groupBy("receiver")).applyInArrow(keep_left, "sender long, doc long, keys binary"), "left").groupBy("sender")
-    answers = left.applyInArrow(send_all, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
-    rare = left.cogroup(answers.groupBy("receiver")).applyInArrow(send_rare, MESSAGE + ", c binary")
-    told = rare.groupBy("bucket").applyInArrow(choose_leaders, "receiver long, bucket long, leaders binary")
+    answers = exchange_keys(left.applyInArrow(send_all, KEYS), dealing)
+    rare = left.cogroup(answers.groupBy("receiver")).applyInArrow(send_rare, KEYS + ", c binary")
+    told = dealing.exchange(rare, KEYS + ", c binary", "receiver long, bucket long, leaders binary", choose_leaders, merge_rare, split_leaders)
     messages = answers.select("*", none("binary").alias("leaders")).unionAll(told.select("receiver", "bucket", none("binary"), "leaders"))
     led = stored(left.cogroup(messages.groupBy("receiver")).applyInArrow(list_leaders, "leader long, doc long, receiver long, size long"), "leaders")
     sizes = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter("n > 1").select(F.col("leader").alias("of"), F.greatest(F.ceil(F.col("n") / task_docs), F.ceil(F.col("s") / task_shingles)).cast("long").alias("tasks"))
@@ -425,19 +399,34 @@ def set_digests(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(digests, "doc_id long, n_shingles long, digest binary, grp long")
 
 
-def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, group_bytes: int = GROUP_BYTES, **limits: int) -> DataFrame:
+def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, group_bytes: int = GROUP_BYTES, fan: int = FAN, **limits: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     own = docs.select(quoted(ident).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    rows, total = dealt(own, ["doc_id", "text"], "text", "grp", group_bytes)
+    rows, total, groups = dealt(own, ["doc_id", "text"], "text", "grp", group_bytes)
     base = stored(set_digests(rows, words), "digests")
-    classes = base.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of_digest"), "least")
-    classed = base.join(classes, F.col("digest") == F.col("of_digest"), "left").select("doc_id", "n_shingles", "grp", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"))
-    classed = stored(classed, "classes")
-    skip = classed.filter("doc_id > least").select(F.col("grp").alias("receiver"), F.col("doc_id").alias("skipped"))
-    roots = components(find_links(rows, skip, int(min(max(8, total // group_bytes), 20_000)), words, threshold, **limits))
+    classes = base.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of_digest"), "least", "n")
+    classed = stored(_with_class(base, stored(classes, "copies"), base.count() * HOT_SHARE), "classes")
+    skip = classed.filter("doc_id > least").select(F.col("grp").alias("receiver"), F.concat(F.col("doc_id").cast("string").cast("binary"), F.lit(b"|"), "digest").alias("skipped"))
+    links = find_links(rows, skip, Dealing(groups, max(8, total // max(group_bytes, total // groups)), fan), words, threshold, **limits)
+    # An id with several sets connects their classes.
+    known = classed.filter("digest is not null and doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select(F.col("doc_id").alias("several_id"))
+    own_links = known.join(several, F.col("doc_id") == F.col("several_id"), "left_semi").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    roots = components(links.unionAll(own_links))
     return classed.join(roots, F.col("least") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "least").alias("component_id"))
 
 
+def _with_class(base: DataFrame, classes: DataFrame, hot: float) -> DataFrame:
+    """(doc_id, n_shingles, digest, grp, least). Classes of very many documents are broadcast, so that their rows don't meet in one task."""
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least")
+    columns = ["doc_id", "n_shingles", "digest", "grp", least]
+    same = F.col("digest") == F.col("of_digest")
+    large = base.join(F.broadcast(classes.filter(F.col("n") >= hot)), same, "left")  # 1 / HOT_SHARE rows at most
+    ready = F.col("least").isNotNull() | F.col("digest").isNull()
+    rest = large.filter(~ready).select(*base.columns).join(classes.filter(F.col("n") < hot), same, "left")
+    return large.filter(ready).select(*columns).unionAll(rest.select(*columns))
+
+
 def keep_one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows whose id is their component's; rows without words or id stay."""
     found = jaccard_components(docs, ident, text, words, threshold).filter("doc_id <> component_id")

@@ -7,7 +7,8 @@ have equal anchors, and a run of windows with one anchor is a short string aroun
 1. Each group of documents sends the hashes of its anchors' leading bytes; those met in two
    documents are returned. No window with another anchor can match (a filter without loss).
 2. Runs with such anchors are range-partitioned by the anchor's leading bytes; the splitters
-   are quantiles of a sample. Equal strings of a group are sent once, with the least id.
+   are quantiles of a sample. Equal strings of a group are sent once, with the least id. In
+   large corpora each range is divided again, by the anchors' hashes.
 3. A bucket sorts the runs by multikey quicksort, eight bytes a step, and compares neighbours.
    Where an anchor has several different runs, their windows are sorted likewise; so each
    window gets the least id that has it. Equal leading bytes never straddle a splitter.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dealt, fresh, table
-from .packed import bucket_slices, distinct, expand, member, pack, pack_sorted, shared_bits, squeeze, unpack, unpack_bits
+from .packed import FAN, KEYS, Dealing, KeySet, bucket_slices, distinct, distinct_counts, exchange_keys, expand, member, pack, squeeze, unpack
 
 #: Length of the strings, of the anchors' leading bytes, and window starts handled at once.
 LENGTH, LEADING, SLICE = 50, 16, 1 << 20
@@ -76,6 +77,28 @@ class Corpus:
         self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
+def anchor_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64 bits, of which the upper 40 are an anchor's key, from its sixteen leading bytes as two numbers."""
+    h = first * _A
+    h ^= (second + _A) * _B
+    h ^= h >> np.uint64(32)
+    h *= _B
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class Ranges:
+    """Buckets of anchors: ranges of leading bytes between sampled splitters, each divided by the anchors' hashes."""
+
+    def __init__(self, splitters: np.ndarray, fine: int = 1):
+        self.splitters, self.fine = splitters, fine
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        both = np.ascontiguousarray(np.stack((first, second), 1).astype(">u8")).view(f"V{LEADING}").reshape(-1)
+        found = np.searchsorted(self.splitters, both.view(f"S{LEADING}"), side="right") if len(self.splitters) else np.zeros(len(first), np.int64)
+        return found * self.fine + (anchor_hash(first, second) >> np.uint64(24)).astype(np.int64) % self.fine
+
+
 class Runs:
     """Runs of windows with one anchor: 40-bit hash of its leading bytes, first window, number of windows, place of the anchor, document."""
 
@@ -89,11 +112,7 @@ class Runs:
         for at in range(0, len(data) - length + 1, SLICE):
             part = data[at : at + SLICE + length - 1]
             eight = big_endian(part)
-            h = eight[: len(part) - LEADING + 1] * _A
-            h ^= (eight[8 : len(part) - LEADING + 9] + _A) * _B
-            h ^= h >> np.uint64(32)
-            h *= _B
-            h ^= h >> np.uint64(29)
+            h = anchor_hash(eight[: len(part) - LEADING + 1], eight[8 : len(part) - LEADING + 9])
             h &= ~low
             h |= np.arange(len(h), dtype=np.uint64)
             least = sliding_min(h, length - LEADING + 1)
@@ -109,14 +128,14 @@ class Runs:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, ascending, and which of them several documents have."""
         pairs = distinct(self.key << np.uint64(24) | self.doc.astype(np.uint64))
-        key = pairs >> np.uint64(24)
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        return key[new], np.diff(new, append=len(key)) > 1
+        keys, counts = distinct_counts(pairs >> np.uint64(24))
+        return keys, counts > 1
 
-    def leading(self) -> np.ndarray:
-        """The anchors' first eight bytes, as numbers."""
-        where = self.anchor[:, None] + np.arange(8)
-        return np.ascontiguousarray(self.corpus.data[where]).view(">u8").reshape(-1).astype(np.uint64)
+    def leading(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors' first and second eight bytes, as numbers."""
+        where = self.anchor[:, None] + np.arange(LEADING)
+        both = np.ascontiguousarray(self.corpus.data[where]).view(">u8").reshape(-1, 2).astype(np.uint64)
+        return both[:, 0], both[:, 1]
 
 
 def string_words(eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> list[np.ndarray]:
@@ -137,13 +156,13 @@ def runs_of_strings(starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) ->
 class SharedRuns:
     """A group's runs whose anchors are shared, and their distinct strings in an order that only the content decides: by bucket, then as texts."""
 
-    def __init__(self, runs: Runs, shared: np.ndarray, splitters: np.ndarray):
+    def __init__(self, runs: Runs, shared: np.ndarray, ranges: Ranges):
         corpus, length = runs.corpus, runs.length
         use = np.flatnonzero(member(runs.key, shared))
         self.corpus, self.first, self.count, self.doc = corpus, runs.first[use], runs.count[use], runs.doc[use]
         self.sizes, self.places = self.count + length - 1, runs.anchor[use] - self.first
         runs.anchor = runs.anchor[use]
-        self.bucket = np.searchsorted(splitters, runs.leading(), side="right")
+        self.bucket = ranges.of(*runs.leading())
         columns = [[] for _ in range(0, 2 * length - LEADING, 8)]
         for at in range(0, len(corpus.data), SLICE):  # the runs ascend
             low, high = np.searchsorted(self.first, (at, at + SLICE))
@@ -160,12 +179,48 @@ class SharedRuns:
         self.least = np.minimum.reduceat(corpus.ids[self.doc][order], cuts) if len(cuts) else np.zeros(0, np.int64)
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, strings with anchors' places and least ids)."""
-        bucket = self.bucket[self.distinct]
-        for b, part in bucket_slices(bucket) if len(bucket) else ():
-            rows = self.distinct[part]
-            blobs = [pack(self.sizes[rows].astype(np.uint16)), pack(self.places[rows].astype(np.uint16)), pack(self.least[part]), squeeze(runs_of_strings(self.first[rows], self.sizes[rows], self.corpus.data))]
-            yield b, b"".join(len(x).to_bytes(4, "big") + x for x in blobs)
+        return runs_messages(self.bucket[self.distinct], self.first[self.distinct], self.sizes[self.distinct], self.places[self.distinct], self.least, self.corpus.data)
+
+
+def runs_messages(bucket: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, ids: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, strings with anchors' places and ids); buckets ascend."""
+    for b, part in bucket_slices(bucket) if len(bucket) else ():
+        blobs = [pack(sizes[part].astype(np.uint16)), pack(places[part].astype(np.uint16)), pack(ids[part]), squeeze(runs_of_strings(starts[part], sizes[part], data))]
+        yield b, b"".join(len(x).to_bytes(4, "big") + x for x in blobs)
+
+
+class SentRuns:
+    """The runs of several messages, one after another."""
+
+    def __init__(self, messages: list[bytes]):
+        parts = [blobs_of(x) for x in messages]
+        self.each = [unpack(p[0], np.uint16) for p in parts]
+        self.sizes, self.places, self.ids = (np.concatenate(c) for c in (self.each, [unpack(p[1], np.uint16) for p in parts], [unpack(p[2], np.int64) for p in parts]))
+        self.strings = b"".join(expand(p[3]) for p in parts)
+
+    def apart(self, x: np.ndarray) -> list[np.ndarray]:
+        """A value for each run, by message."""
+        return np.split(x, np.cumsum([len(s) for s in self.each])[:-1])
+
+
+class MergedRuns:
+    """The distinct runs of several messages, by bucket and then as texts, with their least ids."""
+
+    def __init__(self, sent: SentRuns, length: int, ranges: Ranges):
+        sizes, places = sent.sizes.astype(np.int64), sent.places.astype(np.int64)
+        starts, self.data = np.cumsum(sizes) - sizes, np.frombuffer(sent.strings, np.uint8)
+        eight = big_endian(self.data)
+        bucket = ranges.of(eight[starts + places], eight[starts + places + 8])
+        order, classes = multikey_sort([bucket.astype(np.uint64), *string_words(eight, starts, sizes, length), sizes.astype(np.uint64) << np.uint64(16) | places.astype(np.uint64)])
+        cuts = np.flatnonzero(np.diff(classes, prepend=-1))
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = classes
+        one = order[cuts]
+        self.bucket, self.starts, self.sizes, self.places = bucket[one], starts[one], sizes[one], places[one]
+        self.least = np.minimum.reduceat(sent.ids[order], cuts)
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        return runs_messages(self.bucket, self.starts, self.sizes, self.places, self.least, self.data)
 
 
 def blobs_of(message: bytes) -> list[bytes]:
@@ -264,32 +319,34 @@ def compare_part(starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, ids:
     return masks
 
 
-def sample_splitters(docs: DataFrame, text: str, length: int, buckets: int, rows: int) -> np.ndarray:
-    """Quantiles of the anchors' first eight bytes, over a sample of documents."""
-    if buckets < 2 or not rows:
-        return np.zeros(0, np.uint64)
+def sample_splitters(docs: DataFrame, text: str, length: int, ranges: int, rows: int) -> np.ndarray:
+    """Quantiles of the anchors' leading bytes, over a sample of documents. Anchors with equal leading bytes are in one range."""
+    if ranges < 2 or not rows:
+        return np.zeros(0, f"S{LEADING}")
 
     def leads(batches):
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            lead = Runs(Corpus([0] * len(texts), texts), length).leading()
-            yield pa.RecordBatch.from_arrays([pa.array(lead[:: max(1, len(lead) // 4096)].view(np.int64))], names=["lead"])
+            lead = np.stack(Runs(Corpus([0] * len(texts), texts), length).leading(), 1)
+            lead = lead[:: max(1, len(lead) // 4096)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[:, 0]), pa.array(lead[:, 1])], names=["a", "b"])
 
     sample = docs.select(text).sample(min(1.0, SAMPLE_DOCS / rows), 23) if rows > SAMPLE_DOCS else docs.select(text)
-    found = np.sort(sample.mapInArrow(leads, "lead long").toArrow().column("lead").to_numpy().astype(np.int64).view(np.uint64))
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    return distinct(found[np.arange(1, buckets) * len(found) // buckets])
+    found = sample.mapInArrow(leads, "a long, b long").toArrow()
+    both = np.stack([found.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "ab"], 1).astype(">u8")
+    lead = np.sort(np.ascontiguousarray(both).view(f"V{LEADING}").reshape(-1).view(f"S{LEADING}"))
+    return np.unique(lead[np.arange(1, ranges) * len(lead) // ranges]) if len(lead) else lead
 
 
-def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, schema: T.StructType, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, schema: T.StructType, group_bytes: int = GROUP_BYTES, fan: int = FAN) -> DataFrame:
     """What ``finish`` makes of each group: it gets the group's rows (as read), its Corpus and for each byte whether it is removed, and returns an Arrow table."""
     if not LEADING + 8 <= length <= LEADING + 63:
         raise ValueError(f"length must be from {LEADING + 8} to {LEADING + 63}")
     group = fresh(docs.columns, "group")[0]
-    rows, total = dealt(docs, [ident, text], text, group, group_bytes)
-    buckets = int(min(max(8, total // group_bytes), 20_000))
-    splitters = sample_splitters(docs, text, length, buckets, docs.count() if total else 0)
+    rows, total, groups = dealt(docs, [ident, text], text, group, group_bytes)
+    dealing = Dealing(groups, max(8, total // max(group_bytes, total // groups)), fan)
+    splitters = sample_splitters(docs, text, length, dealing.coarse, docs.count() if total else 0)
+    ranges, finer = Ranges(splitters), Ranges(splitters, dealing.fine)
     id_at, text_at, group_at = rows.columns.index(ident), rows.columns.index(text), rows.columns.index(group)
 
     def corpus_of(t: pa.Table) -> Corpus:
@@ -298,37 +355,39 @@ def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, s
     def number_of(*tables: pa.Table) -> int:
         return next(t.column(at)[0].as_py() for t, at in zip(tables, (group_at, 0)) if t.num_rows)
 
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(buckets) >> np.uint64(40)).astype(np.int64)
+    def keys_of(runs: Runs) -> KeySet:
+        return KeySet(*runs.anchors(), dealing.coarse)
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        keys, several = Runs(corpus_of(t), length).anchors()
-        out = [(b, pack_sorted(keys[part]), pack_sorted(keys[part][several[part]])) for b, part in (bucket_slices(bucket_of(keys)) if len(keys) else ())]
-        g = number_of(t)
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), "anchors": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([x[2] for x in out], pa.binary())})
-
-    def find_shared(t: pa.Table) -> pa.Table:
-        bits = shared_bits(t.column("anchors").to_pylist(), t.column("several").to_pylist())
-        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        return keys_of(Runs(corpus_of(t), length)).message(number_of(t))
 
     def shared_runs(corpus: Corpus, answers: pa.Table) -> SharedRuns:
         runs = Runs(corpus, length)
-        keys = runs.anchors()[0]
-        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
-        shared = [keys[part][unpack_bits(bits[b], part.stop - part.start)] for b, part in (bucket_slices(bucket_of(keys)) if len(keys) else ())]
-        return SharedRuns(runs, np.concatenate([np.zeros(0, np.uint64), *shared]), splitters)
+        return SharedRuns(runs, keys_of(runs).shared(answers), ranges)
+
+    def messages_of(found: Iterator[tuple[int, bytes]], sender: int) -> pa.Table:
+        out = list(found)
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([sender] * len(out), pa.int64()), "runs": pa.array([x[1] for x in out], pa.binary())})
 
     def send_runs(t: pa.Table, answers: pa.Table) -> pa.Table:
-        out = list(shared_runs(corpus_of(t), answers).messages()) if t.num_rows else []
-        g = number_of(t, answers)
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "sender": pa.array([g] * len(out), pa.int64()), "runs": pa.array([x[1] for x in out], pa.binary())})
+        return messages_of(shared_runs(corpus_of(t), answers).messages() if t.num_rows else iter(()), number_of(t, answers))
+
+    def masks_of(t: pa.Table, sent: SentRuns, masks: np.ndarray) -> pa.Table:
+        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "masks": pa.array([pack(x) for x in sent.apart(masks)], pa.binary())})
 
     def compare(t: pa.Table) -> pa.Table:
-        parts = [blobs_of(x) for x in t.column("runs").to_pylist()]
-        sizes, places, ids = (np.concatenate([unpack(p[k], kind) for p in parts]) for k, kind in enumerate((np.uint16, np.uint16, np.int64)))
-        masks = compare_runs(sizes, places, ids, b"".join(expand(p[3]) for p in parts), length)
-        cuts = np.cumsum([len(unpack(p[0], np.uint16)) for p in parts])[:-1]
-        return pa.table({"receiver": t.column("sender"), "bucket": t.column("bucket"), "masks": pa.array([pack(x) for x in np.split(masks, cuts)], pa.binary())})
+        sent = SentRuns(t.column("runs").to_pylist())
+        return masks_of(t, sent, compare_runs(sent.sizes, sent.places, sent.ids, sent.strings, length))
+
+    def merge(t: pa.Table, node: int) -> pa.Table:
+        return messages_of(MergedRuns(SentRuns(t.column("runs").to_pylist()), length, finer).messages(), node)
+
+    def split(t: pa.Table, told: pa.Table) -> pa.Table:
+        sent = SentRuns(t.column("runs").to_pylist())
+        merged = MergedRuns(sent, length, finer)
+        masks = np.concatenate([unpack(x, np.uint64) for x in told.column("masks").to_pylist()])[merged.entry]
+        full = (np.uint64(1) << (sent.sizes - np.uint16(length - 1)).astype(np.uint64)) - np.uint64(1)
+        return masks_of(t, sent, np.where(sent.ids > merged.least[merged.entry], full, masks))
 
     def remove(t: pa.Table, both: pa.Table) -> pa.Table:
         corpus = corpus_of(t)
@@ -347,10 +406,9 @@ def removed_bytes(docs: DataFrame, ident: str, text: str, length: int, finish, s
         change[length:] -= starts[: len(corpus.data)]
         return finish(t, corpus, np.cumsum(change, dtype=np.int16)[: len(corpus.data)] > 0)
 
-    sent = rows.groupBy(group).applyInArrow(send_anchors, "bucket long, sender long, anchors binary, several binary")
-    shared = sent.groupBy("bucket").applyInArrow(find_shared, "receiver long, bucket long, bits binary")
+    shared = exchange_keys(rows.groupBy(group).applyInArrow(send_anchors, KEYS), dealing)
     runs = rows.groupBy(group).cogroup(shared.groupBy("receiver")).applyInArrow(send_runs, "bucket long, sender long, runs binary")
-    masks = runs.groupBy("bucket").applyInArrow(compare, "receiver long, bucket long, masks binary")
+    masks = dealing.exchange(runs, "bucket long, sender long, runs binary", "receiver long, bucket long, masks binary", compare, merge, split)
     none = F.lit(None).cast("binary")
     both = shared.select("receiver", "bucket", "bits", none.alias("masks")).unionAll(masks.select("receiver", "bucket", none.alias("bits"), "masks"))
     return rows.groupBy(group).cogroup(both.groupBy("receiver")).applyInArrow(remove, schema)
@@ -377,7 +435,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     return removed_bytes(docs, ident, text, length, finish, docs.schema)
 
 
-def repeat_digests(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def repeat_digests(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     at = docs.columns.index(ident)
 
@@ -392,7 +450,7 @@ def repeat_digests(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return removed_bytes(docs, ident, text, length, finish, schema, group_bytes)
+    return removed_bytes(docs, ident, text, length, finish, schema, group_bytes, fan)
 
 
 def op6_suffix_array(spark, sf_dir: str) -> DataFrame:

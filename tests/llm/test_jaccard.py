@@ -54,6 +54,19 @@ def test_nasty_documents_match_brute_force(spark, nasty):
     assert found(nasty, group_bytes=30_000, task_docs=1) == brute(rows)
 
 
+def test_buckets_in_two_levels_match_brute_force(spark, nasty):
+    rows = [(r[0], r[1]) for r in nasty_rows()]
+    for fan in (1, 2, 5):
+        assert found(nasty, group_bytes=20_000, fan=fan) == brute(rows)
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = prose(21, 60), prose(22, 60), prose(23, 60)
+    rows = [(1, a), (9, a), (9, b), (7, b), (7, c), (20, c + " more"), (30, prose(24, 50)), (31, prose(24, 50))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    assert found(df) == brute(rows) == found(df, group_bytes=300, fan=2)
+
+
 def edited(seed, words, n):
     r = random.Random(seed)
     out = list(words)

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from lumenframe.llm.suffixes import LENGTH, Corpus, Runs, multikey_sort, op6_suffix_array, remove_repeats, repeat_digests, sliding_min
+from lumenframe.llm.packed import FAN, Dealing
+from lumenframe.llm.suffixes import LENGTH, Corpus, Ranges, Runs, multikey_sort, op6_suffix_array, remove_repeats, repeat_digests, sliding_min
 
 from .conftest import SCHEMA, nasty_rows, prose
 
@@ -48,6 +49,32 @@ def test_random_low_entropy_texts_match_brute_force(spark):
         assert found(df, group_bytes=group_bytes) == brute(rows)
 
 
+def test_buckets_in_two_levels_match_brute_force(spark, nasty):
+    rows = [(r[0], r[1]) for r in nasty_rows()]
+    for fan in (1, 3, 6):
+        assert found(nasty, group_bytes=20_000, fan=fan) == brute(rows)
+
+
+def test_ranges_keep_equal_anchors_together_and_split_others():
+    r = np.random.default_rng(1)
+    first, second = r.integers(0, 4, 3_000).astype(np.uint64) << np.uint64(61), r.integers(0, 2**63, 3_000).astype(np.uint64)
+    both = [int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") for a, b in zip(first, second)]
+    splitters = np.array(sorted(both)[100::500], "S16")
+    for fine in (1, 5):
+        bucket = Ranges(splitters, fine).of(first, second)
+        assert (bucket // fine).tolist() == [sum(s <= x for s in sorted(both)[100::500]) for x in both] and len(set(bucket.tolist())) == 7 * fine
+        assert (Ranges(splitters, fine).of(first, second) == bucket).all()
+
+
+def test_tasks_stay_bounded_as_the_input_grows():
+    """Buckets follow the input in number; what a node or bucket holds and the rows for each group don't grow."""
+    for groups in (10, 5_000, 100_000, 6_000_000):
+        d = Dealing(groups, groups)
+        assert d.coarse <= FAN and groups <= d.coarse * d.fine <= 2 * groups + 8 and -(-groups // d.districts) <= FAN
+        if groups < FAN * FAN:
+            assert d.fine <= FAN
+
+
 def test_other_lengths(spark):
     rows = [(1, prose(1, 60)), (2, prose(2, 10) + prose(1, 60)[50:200]), (3, prose(1, 60)[100:180] + "zz" + prose(1, 60)[90:150])]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
