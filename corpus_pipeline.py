@@ -58,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are one end token; each repetition of a row is packed for itself; of pieces of one length any may take a place.
     """
-    return packing.pack_documents(docs, packing.default_tokenizer())
+    return packing.pack_documents(docs, packing.default_tokenizer()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
