@@ -92,7 +92,7 @@ chain("filter_in_between_not", "orders", "SELECT o_orderkey, o_orderpriority, o_
 #: Operator, column, pattern, and SQL of the same condition. Each holds for some rows of the table and not for others.
 _TEXT_OPS = (
     ("like", "p_type", "%ROM%", "p_type LIKE '%ROM%'"), ("ilike", "p_name", "%WID_ET", "p_name ILIKE '%WID_ET'"), ("starts_with", "p_brand", "Brand#1", "starts_with(p_brand, 'Brand#1')"),
-    ("ends_with", "p_brand", "5", "ends_with(p_brand, '5')"), ("contains", "p_name", "ol", "contains(p_name, 'ol')"), ("matches", "p_name", "^[a-l]+ w", "regexp_matches(p_name, '^[a-l]+ w')"),
+    ("ends_with", "p_brand", "5", "ends_with(p_brand, '5')"), ("contains", "p_name", "ol", "contains(p_name, 'ol')"), ("matches", "p_name", "^(cold|l.rge) w", "regexp_matches(p_name, '^(cold|l.rge) w')"),
 )
 for _op, _column, _pattern, _where in _TEXT_OPS:
     chain(f"filter_{_op}", "part", f"SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE {_where}", ("filter", {"predicate": cond(_column, _op, _pattern)}), keep("p_partkey", "p_name", "p_brand", "p_type"))
