@@ -1,7 +1,7 @@
 """The engine: operations by id, from a request to a response.
 
 Each dataset is a lazy Spark frame, so a chain of operations is one plan for Catalyst. An
-operation's response needs the row count and a preview, which are two small jobs.
+operation's response needs a preview and the row count: one job, or two where the count isn't known.
 """
 
 from __future__ import annotations
@@ -66,13 +66,14 @@ class Call:
     def stats(self, rows: int, scanned: int = 0, plan: str | None = None) -> Stats:
         return Stats(int((time.monotonic() - self.began) * 1000), scanned, rows, plan)
 
-    def finish(self, frame: DataFrame, dataset_id: str, source: str, scanned: int = 0, explain: bool = False) -> Response:
-        """Counts and previews the frame, and keeps it under the id."""
+    def finish(self, frame: DataFrame, dataset_id: str, source: str, scanned: int = 0, explain: bool = False, rows: int | None = None) -> Response:
+        """Previews and counts the frame, and keeps it under the id. A result that fits the preview, or whose rows are known, needs one job."""
         plan = plan_of(frame) if explain else None
-        rows = frame.count()
-        preview = plain_rows(frame.limit(PREVIEW_ROWS).collect(), frame.columns)
+        shown = frame.limit(PREVIEW_ROWS + 1).collect()
+        if rows is None or len(shown) <= PREVIEW_ROWS:
+            rows = len(shown) if len(shown) <= PREVIEW_ROWS else frame.count()
         self.engine.catalog.put(Dataset(dataset_id, frame, source, rows))
-        return Response.ok(dataset_id, describe(frame.schema), rows, preview, self.stats(rows, scanned, plan), self.warnings)
+        return Response.ok(dataset_id, describe(frame.schema), rows, plain_rows(shown[:PREVIEW_ROWS], frame.columns), self.stats(rows, scanned, plan), self.warnings)
 
 
 def plan_of(frame: DataFrame) -> str:
@@ -176,16 +177,26 @@ def operation(name: str, description: str, *parameters: Param):
     return add
 
 
+#: Operations that give as many rows as they read.
+KEEP_ROWS = ("select", "with_column", "rename", "window", "fillna")
+
+
 def transform(name: str, description: str, build: Callable[[DataFrame, Mapping[str, Any]], Any], *parameters: Param, into: Param = INTO, explain: bool = True) -> None:
     """An operation of one dataset whose builder gives a frame, or a frame and warnings."""
 
+    def known(entry: Dataset, params: Mapping[str, Any]) -> int | None:
+        if entry.row_count is None or name not in (*KEEP_ROWS, "sort"):
+            return None
+        limit = to_int(params.get("limit")) if name == "sort" else None
+        return entry.row_count if limit is None else min(limit, entry.row_count)
+
     def run(call: Call) -> Response:
         entry = call.dataset()
         built = build(entry.frame, call.params)
         frame, warnings = built if isinstance(built, tuple) else (built, [])
         call.warnings += warnings
         frame = call.engine.cut([entry.id], call.target, frame)
-        return call.finish(frame, call.target, f"{name}:{entry.id}", explain=explain and bool(to_bool(call.params.get("explain"))))
+        return call.finish(frame, call.target, f"{name}:{entry.id}", explain=explain and bool(to_bool(call.params.get("explain"))), rows=known(entry, call.params))
 
     operation(name, description, DATASET, into, *parameters, *([EXPLAIN] if explain else []))(run)
 
@@ -238,7 +249,7 @@ def _schema(call: Call) -> Response:
 @operation("profile", "Statistics of each column.", DATASET, Param("columns", "array"), Param("quantiles", "array"))
 def _profile(call: Call) -> Response:
     entry = call.dataset()
-    rows = quality.profile(entry.frame, call.params)
+    rows = quality.profile(entry.frame, call.params, rows=entry.row_count)
     schema = [ColumnSchema(k, quality.profile_type(k, rows[0])) for k in (rows[0] if rows else ())]
     return Response.ok(entry.id, schema, len(rows), rows[:PREVIEW_ROWS], call.stats(len(rows)), call.warnings)
 

@@ -14,6 +14,7 @@ from ..errors import INVALID_ARGUMENT, FrameError
 from ..params import text, text_list
 from ..schema import field, project, quoted, resolve
 from ..typenames import common
+from .stretches import position, stretch_of
 
 KINDS = ("inner", "left", "right", "full", "semi", "anti", "cross", "asof")
 _SPARK_KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
@@ -65,8 +66,9 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], op: st
     """For each left row the nearest right row at or before its time (>=), or at or after it (<=); rows without one go.
 
     Both sides are merged by time and the last right row is carried along, so there is one
-    sort by key and time and no pairwise comparison. Without equality keys the one sequence
-    is cut into stretches of time, each of which is given the last right row before it.
+    sort by key and time and no pairwise comparison. Long sequences, of a key with very many
+    rows or without equality keys, are cut into stretches of time, each of which is given the
+    last right row before it.
     """
     if op not in (">=", "<="):
         raise FrameError(INVALID_ARGUMENT, "'asof_op' must be '>=' or '<='.")
@@ -78,18 +80,13 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], op: st
     r_side = right.select(*[quoted(b).cast(k).alias(n) for (_, b), k, n in zip(keys, kinds, names)], F.lit(0).alias("side"), F.lit(None).cast(l_type).alias("l"), r_row.alias("r"))
     known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
     merged = l_side.unionAll(r_side).filter(known)
-    position = _position(F.col(names[-1]), kinds[-1], op)
-    parts, order = names[:-1], [F.col("at").asc(), F.col("side").asc(), F.col("r").asc()]
-    if position is None:  # texts and the like: no distances, so no splits
-        merged = merged.withColumn("at", F.col(names[-1]))
+    at, parts, order = position(F.col(names[-1]), kinds[-1]), names[:-1], [F.col("at").asc(), F.col("side").asc(), F.col("r").asc()]
+    if at is None:  # texts and the like: no distances, so no stretches
         order[0] = F.col("at").asc() if op == ">=" else F.col("at").desc()
+        merged = merged.withColumn("at", F.col(names[-1])).withColumn("before", F.lit(None).cast(r_type))
     else:
-        merged = merged.withColumn("at", position)
-    if position is not None and not parts:
-        merged = _split(merged)
-        parts = ["split"]
-    else:
-        merged = merged.withColumn("before", F.lit(None).cast(r_type))
+        merged = _in_stretches(merged.withColumn("at", at if op == ">=" else -at), parts, r_type)
+        parts = [*parts, "split"]
     window = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = merged.withColumn("match", F.coalesce(F.last("r", ignorenulls=True).over(window), F.col("before")))
     found = merged.filter(F.col("l").isNotNull() & F.col("match").isNotNull())
@@ -98,31 +95,26 @@ def _asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], op: st
     return project(found, columns)
 
 
-#: Stretches of time that a sequence without equality keys is cut into.
-STRETCHES = 64
+#: A key with so many rows is cut into stretches.
+LONG = 4_000_000
 
 
-def _position(t: Column, kind: T.DataType, op: str) -> Column | None:
-    """Times and numbers on a line along which right rows are carried; None for other types."""
-    if isinstance(kind, T.TimestampNTZType):
-        at = F.unix_micros(t.cast("timestamp"))
-    elif isinstance(kind, T.TimestampType):
-        at = F.unix_micros(t)
-    elif isinstance(kind, T.DateType):
-        at = F.unix_date(t)
-    elif isinstance(kind, T.NumericType):
-        at = t
+def _in_stretches(merged: DataFrame, keys: list[str], r_type: T.DataType) -> DataFrame:
+    """Rows with their stretch (0 for all rows of a short sequence) and, as ``before``, the last right row of the stretches before it."""
+    short = merged.withColumn("split", F.lit(0)).withColumn("before", F.lit(None).cast(r_type))
+    rows = merged.count()
+    if rows < LONG:
+        return short
+    if keys:
+        long = merged.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= LONG)  # rows / LONG keys at most
+        hot = long.select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.lit(True).alias("hot"))
+        merged = merged.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys]), "left").drop(*[f"hot_{k}" for k in keys])
+        split = F.when(F.col("hot"), stretch_of(merged.filter("hot"), F.col("at"), rows)).otherwise(0)
     else:
-        return None
-    return at if op == ">=" else -at
-
-
-def _split(merged: DataFrame) -> DataFrame:
-    """Rows with their stretch and, as ``before``, the last right row of the stretches before it."""
-    cuts = merged.agg(F.percentile_approx("at", [k / STRETCHES for k in range(1, STRETCHES)])).first()[0] or []
-    split = reduce(lambda a, b: a + b, [(F.col("at") >= F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
+        merged, split = merged.withColumn("hot", F.lit(True)), stretch_of(merged, F.col("at"), rows)
     merged = merged.withColumn("split", split)
-    last = merged.groupBy("split").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct("at", "r"))).alias("last"))
-    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch
-    before = last.select("split", F.last("last", ignorenulls=True).over(earlier).alias("before"))
-    return merged.join(F.broadcast(before), "split")
+    last = merged.filter("hot").groupBy(*keys, "split").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct("at", "r"))).alias("last"))
+    earlier = Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows for each long sequence
+    before = last.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("split").alias("of_split"), F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], F.col("hot") & (F.col("split") == F.col("of_split")))
+    return merged.join(F.broadcast(before), same, "left").drop("hot", "of_split", *[f"of_{k}" for k in keys])

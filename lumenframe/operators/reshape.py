@@ -19,6 +19,10 @@ from ..typenames import common
 PIVOT_AGGREGATES = {"sum": F.sum, "avg": lambda c: F.avg(c.cast("double")), "min": F.min, "max": F.max, "count": F.count}
 
 
+#: Keys that a pivot may have; each names a column for each value.
+MOST_KEYS = 10_000
+
+
 def _pivot_values(df: DataFrame, p: Mapping[str, Any]) -> list[tuple[str, str, str | None]]:
     """(column, aggregate, alias) of each value."""
     values = p.get("values")
@@ -50,7 +54,9 @@ def pivot(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
         raise FrameError(INVALID_ARGUMENT, "'index' must name at least one column.")
     values = _pivot_values(df, p)
     key, key_column, _ = field(df, p["columns"])
-    keys = [r[0] for r in df.select(key_column).filter(key_column.isNotNull()).distinct().orderBy(key_column).collect()]
+    keys = [r[0] for r in df.select(key_column).filter(key_column.isNotNull()).distinct().orderBy(key_column).limit(MOST_KEYS + 1).collect()]
+    if len(keys) > MOST_KEYS:
+        raise FrameError(INVALID_ARGUMENT, f"Column '{key}' has more than {MOST_KEYS} values; a pivot can't have as many columns.", column=key)
     names = [f"i{k}" for k in range(len(index))]
     grouped = df.select(*[quoted(c).alias(n) for c, n in zip(index, names)], key_column.alias("key"), *[quoted(c).alias(f"v{k}") for k, (c, _, _) in enumerate(values)]).groupBy(*names)
     if not keys:
