@@ -39,7 +39,7 @@ def _right_names(left: DataFrame, right: DataFrame, drop: set[str], suffix: str)
 def join(left: DataFrame, right: DataFrame, p: Mapping[str, Any]) -> DataFrame:
     how, suffix = str(p.get("how") or "inner"), text(p.get("suffix")) or "_right"
     if how not in KINDS:
-        raise FrameError(INVALID_ARGUMENT, f"'how' must be one of: {', '.join(KINDS)}.")
+        raise FrameError(INVALID_ARGUMENT, f"Joins are of these kinds: {', '.join(KINDS)}.")
     # Own names for both sides, so that a frame can be joined with itself.
     l_cols, r_cols = [f"l{i}" for i in range(len(left.columns))], [f"r{i}" for i in range(len(right.columns))]
     l_of, r_of = dict(zip(left.columns, l_cols)), dict(zip(right.columns, r_cols))

@@ -45,7 +45,7 @@ def coerced(value: Any, kind: T.DataType) -> Column:
 def fillna(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
     value, values, method = p.get("value"), p.get("values"), p.get("method")
     if values is not None and not isinstance(values, Mapping):
-        raise FrameError(INVALID_ARGUMENT, "'values' must be a { column: replacement } object.")
+        raise FrameError(INVALID_ARGUMENT, "'values' maps columns to replacements.")
     if method is not None:
         if value is not None or values:
             raise FrameError(INVALID_ARGUMENT, "'method' can't be combined with 'value' or 'values'.")

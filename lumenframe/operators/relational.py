@@ -41,26 +41,26 @@ def select(df: DataFrame, p: Request) -> DataFrame:
             own = resolve(item["column"], df.columns)
             columns.append((text(item.get("as")) or own, quoted(own)))
         else:
-            raise FrameError(INVALID_ARGUMENT, "Each 'columns' entry must be a name or a { column, as } object.")
+            raise FrameError(INVALID_ARGUMENT, "An entry of 'columns' is a name, or an object with 'column' and 'as'.")
     if not columns:
-        raise FrameError(INVALID_ARGUMENT, "'columns' must name at least one column.")
+        raise FrameError(INVALID_ARGUMENT, "No columns were selected.")
     return project(df, columns)
 
 
 def rename(df: DataFrame, p: Request) -> DataFrame:
     names = p["columns"]
     if not isinstance(names, Mapping) or not names:
-        raise FrameError(INVALID_ARGUMENT, "'columns' must be a non-empty { old: new } object.")
+        raise FrameError(INVALID_ARGUMENT, "'columns' maps old names to new ones, and needs one at least.")
     by_lower, new_names = {c.lower(): c for c in df.columns}, {}
     for old, new in names.items():
         if text(new) is None:
-            raise FrameError(INVALID_ARGUMENT, f"The new name of '{old}' must be a non-empty string.")
+            raise FrameError(INVALID_ARGUMENT, f"'{old}' gets no new name.")
         if str(old).lower() not in by_lower:
             raise FrameError(COLUMN_NOT_FOUND, f"Column '{old}' does not exist in the dataset.", column=old)
         new_names[by_lower[str(old).lower()]] = str(new)
     after = [new_names.get(c, c) for c in df.columns]
     if len(set(after)) < len(after):
-        raise FrameError(INVALID_ARGUMENT, "Column names must be unique after renaming.")
+        raise FrameError(INVALID_ARGUMENT, "Two columns would have the same name.")
     return df.select(*[quoted(c).alias(a) for c, a in zip(df.columns, after)])
 
 
@@ -68,9 +68,9 @@ def with_column(df: DataFrame, p: Request) -> DataFrame:
     """Replaces the column in its place, under the name as given, or appends it."""
     name = text(p["name"])
     if name is None:
-        raise FrameError(INVALID_ARGUMENT, "'name' must be a non-empty string.")
+        raise FrameError(INVALID_ARGUMENT, "The column needs a name.")
     if not isinstance(p["expression"], Mapping):
-        raise FrameError(INVALID_PREDICATE, "'expression' must be an object.")
+        raise FrameError(INVALID_PREDICATE, "An expression is a tree of objects.")
     value, columns, found = compile_expression(df, p["expression"]), [], False
     for c, own in everything(df):
         same = c.lower() == name.lower()
@@ -81,7 +81,7 @@ def with_column(df: DataFrame, p: Request) -> DataFrame:
 
 def filter_rows(df: DataFrame, p: Request) -> DataFrame:
     if not isinstance(p["predicate"], Mapping):
-        raise FrameError(INVALID_PREDICATE, "'predicate' must be an object.")
+        raise FrameError(INVALID_PREDICATE, "A predicate is a tree of objects.")
     return df.filter(where(df, p["predicate"]))
 
 
@@ -89,7 +89,7 @@ def order_columns(df: DataFrame, entries: Any, flip: bool = False, with_nulls: b
     out = []
     for e in entries or ():
         if not isinstance(e, Mapping) or text(e.get("column")) is None:
-            raise FrameError(INVALID_ARGUMENT, "Each order entry must be a { column, direction } object.")
+            raise FrameError(INVALID_ARGUMENT, "An entry of the order is an object with 'column' and 'direction'.")
         first = with_nulls and str(e.get("nulls")).lower() == "first"
         out.append(order_key(field(df, e["column"])[1], is_desc(e.get("direction")) != flip, first))
     return out
@@ -99,7 +99,7 @@ def sort(df: DataFrame, p: Request) -> DataFrame:
     """Ties keep the order in which rows are read. With a limit only the first rows travel."""
     keys = order_columns(df, p["by"])
     if not keys:
-        raise FrameError(INVALID_ARGUMENT, "'by' must have at least one entry.")
+        raise FrameError(INVALID_ARGUMENT, "There is nothing to sort by.")
     tie = hidden(df, "__row")
     out = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*keys, tie)
     limit = to_int(p.get("limit"))
@@ -111,9 +111,9 @@ def distinct(df: DataFrame, p: Request) -> tuple[DataFrame, list[str]]:
     entries = list(p["order_by"]) if is_array(p.get("order_by")) else []
     if not names:
         if last:
-            raise FrameError(INVALID_ARGUMENT, "'keep' is not supported for whole-row distinct.")
+            raise FrameError(INVALID_ARGUMENT, "Whole rows that are equal leave nothing to 'keep'.")
         if entries:
-            raise FrameError(INVALID_ARGUMENT, "'order_by' is not supported for whole-row distinct.")
+            raise FrameError(INVALID_ARGUMENT, "Whole rows that are equal have no order.")
         return df.distinct(), []
     keys = [field(df, n)[1] for n in names]
     order = order_columns(df, entries, flip=last, with_nulls=False)

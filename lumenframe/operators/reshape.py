@@ -33,16 +33,16 @@ def _pivot_values(df: DataFrame, p: Mapping[str, Any]) -> list[tuple[str, str, s
             raise FrameError(INVALID_ARGUMENT, "'aggregation' belongs into each entry where 'values' is an array.")
         specs = [v for v in values if v is not None]
         if not specs:
-            raise FrameError(INVALID_ARGUMENT, "'values' must have at least one entry.")
+            raise FrameError(INVALID_ARGUMENT, "There is nothing in 'values' to aggregate.")
     else:
-        raise FrameError(INVALID_TYPE, "'values' must be a column name or an array of { column, aggregation, alias } objects.")
+        raise FrameError(INVALID_TYPE, "'values' names one column, or lists objects with column, aggregation and alias.")
     out = []
     for s in specs:
         if not isinstance(s, Mapping) or text(s.get("column")) is None:
-            raise FrameError(INVALID_ARGUMENT, "Each 'values' entry requires a 'column'.")
+            raise FrameError(INVALID_ARGUMENT, "An entry of 'values' names no column.")
         name = str(s.get("aggregation") or "").lower()
         if name not in PIVOT_AGGREGATES:
-            raise FrameError(INVALID_AGGREGATION, f"Unknown pivot aggregation '{name}'. Use sum, avg, min, max, or count.")
+            raise FrameError(INVALID_AGGREGATION, f"A pivot can't aggregate by '{name}'; known: {', '.join(PIVOT_AGGREGATES)}.")
         out.append((resolve(s["column"], df.columns), name, text(s.get("alias"))))
     return out
 
@@ -51,7 +51,7 @@ def pivot(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
     """A row for each index, columns for each key (but null), ascending. The keys are found first, as they name the columns."""
     index = [resolve(c, df.columns) for c in text_list("index", p["index"])]
     if not index:
-        raise FrameError(INVALID_ARGUMENT, "'index' must name at least one column.")
+        raise FrameError(INVALID_ARGUMENT, "A pivot needs index columns.")
     values = _pivot_values(df, p)
     key, key_column, _ = field(df, p["columns"])
     keys = [r[0] for r in df.select(key_column).filter(key_column.isNotNull()).distinct().orderBy(key_column).limit(MOST_KEYS + 1).collect()]
@@ -76,9 +76,9 @@ def unpivot(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
     ids = [resolve(c, df.columns) for c in text_list("id_columns", p.get("id_columns"))]
     values = [resolve(c, df.columns) for c in text_list("value_columns", p.get("value_columns"))]
     if not values:
-        raise FrameError(INVALID_ARGUMENT, "'value_columns' must name at least one column.")
+        raise FrameError(INVALID_ARGUMENT, "There are no columns to unpivot.")
     if set(ids) & set(values):
-        raise FrameError(INVALID_ARGUMENT, "'id_columns' and 'value_columns' must not overlap.")
+        raise FrameError(INVALID_ARGUMENT, "A column can't be both an id and a value.")
     name_to, value_to = text(p.get("name_to")) or "name", text(p.get("value_to")) or "value"
     for n in (name_to, value_to):
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", n):

@@ -26,10 +26,10 @@ def _order(df: DataFrame, entries: Any) -> list[Column]:
     out = []
     for e in entries or ():
         if not isinstance(e, Mapping) or text(e.get("column")) is None:
-            raise _fail("Each 'order_by' entry must be a { column, direction, nulls } object.")
+            raise _fail("An entry of 'order_by' is an object with column, direction and nulls.")
         nulls = e.get("nulls")
         if nulls is not None and str(nulls).lower() not in ("first", "last"):
-            raise _fail("'nulls' must be 'first' or 'last'.")
+            raise _fail("Nulls come 'first' or 'last'.")
         out.append(order_key(field(df, e["column"])[1], is_desc(e.get("direction")), str(nulls).lower() == "first"))
     return out
 
@@ -78,15 +78,15 @@ def window(df: DataFrame, p: Mapping[str, Any]) -> DataFrame:
     added = []
     for f in p["functions"]:
         if not isinstance(f, Mapping):
-            raise _fail("Each window function must be an object.")
+            raise _fail("A window function is an object.")
         name, alias = str(f.get("function") or "").lower(), text(f.get("alias"))
         if name not in FUNCTIONS:
-            raise _fail(f"Unknown window function '{f.get('function')}'.")
+            raise _fail(f"There is no window function '{f.get('function')}'.")
         if alias is None:
-            raise _fail("Each window function requires an 'alias'.")
+            raise _fail("A window function needs an alias.")
         added.append((alias, _value(df, f, name, ordered, framed, bool(order))))
     if not added:
-        raise _fail("'functions' must have at least one entry.")
+        raise _fail("There are no window functions in the request.")
     return project(df, [*everything(df), *added])
 
 
@@ -99,7 +99,7 @@ def _value(df: DataFrame, f: Mapping[str, Any], name: str, ordered, framed, has_
     if name == "ntile":
         n = _argument(f, name, None)
         if n < 1:
-            raise _fail("'ntile' requires a number of at least 1.")
+            raise _fail("'ntile' makes one part at least.")
         return F.ntile(n).over(ordered).cast("long")
     if text(f.get("column")) is None:
         raise _fail(f"'{name}' requires a 'column'.")

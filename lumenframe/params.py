@@ -68,10 +68,10 @@ def check(values: Mapping[str, Any], declared: Sequence[Param]) -> None:
         x = values.get(p.name)
         if x is None:
             if p.required:
-                raise FrameError(INVALID_TYPE, f"Required parameter '{p.name}' is missing.", parameter=p.name)
+                raise FrameError(INVALID_TYPE, f"The request lacks '{p.name}'.", parameter=p.name)
             continue
         if p.allowed and _text(x) not in [_text(a) for a in p.allowed]:
-            raise FrameError(INVALID_ARGUMENT, f"Parameter '{p.name}' must be one of: {', '.join(map(_text, p.allowed))}.", parameter=p.name)
+            raise FrameError(INVALID_ARGUMENT, f"'{p.name}' is one of {', '.join(map(_text, p.allowed))}; that value is none of them.", parameter=p.name)
         fits, what = {
             "integer": (lambda: not isinstance(x, bool) and to_int(x) is not None, "an integer"),
             "number": (lambda: not isinstance(x, bool) and to_number(x) is not None, "a number"),
@@ -80,21 +80,21 @@ def check(values: Mapping[str, Any], declared: Sequence[Param]) -> None:
             "object": (lambda: isinstance(x, Mapping), "an object"),
         }.get(p.kind, (lambda: True, ""))
         if not fits():
-            raise FrameError(INVALID_TYPE, f"Parameter '{p.name}' must be {what}.", parameter=p.name)
+            raise FrameError(INVALID_TYPE, f"The value of '{p.name}' should be {what}.", parameter=p.name)
         v = to_number(x) if p.minimum is not None or p.maximum is not None else None
         if v is not None and p.minimum is not None and v < p.minimum:
-            raise FrameError(INVALID_TYPE, f"Parameter '{p.name}' must be >= {p.minimum}.", parameter=p.name)
+            raise FrameError(INVALID_TYPE, f"The value of '{p.name}' is below {p.minimum}.", parameter=p.name)
         if v is not None and p.maximum is not None and v > p.maximum:
-            raise FrameError(INVALID_TYPE, f"Parameter '{p.name}' must be <= {p.maximum}.", parameter=p.name)
+            raise FrameError(INVALID_TYPE, f"The value of '{p.name}' is above {p.maximum}.", parameter=p.name)
         if p.pattern and isinstance(x, str) and not re.search(p.pattern, x):
-            raise FrameError(INVALID_TYPE, f"Parameter '{p.name}' does not match the required pattern.", parameter=p.name)
+            raise FrameError(INVALID_TYPE, f"The value of '{p.name}' has a form that isn't allowed.", parameter=p.name)
 
 
 def text_list(name: str, x: Any) -> list[str]:
     if x is None:
         return []
     if isinstance(x, (str, Mapping)):
-        raise FrameError(INVALID_TYPE, f"Parameter '{name}' must be a list of strings.", parameter=name)
+        raise FrameError(INVALID_TYPE, f"'{name}' takes a list of texts.", parameter=name)
     return [str(v) for v in x if v is not None] if isinstance(x, Iterable) else []
 
 

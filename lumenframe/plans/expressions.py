@@ -96,7 +96,7 @@ def _case(node: Mapping[str, Any]) -> Case:
 def parse(node: Any) -> Expr:
     """A node from its request form; INVALID_PREDICATE if it is malformed."""
     if not isinstance(node, Mapping):
-        raise _fail("An expression must be an object.")
+        raise _fail("An expression is an object.")
     if "column" in node:
         if _text(node["column"]) is None:
             raise _fail("'column' must be a non-empty string.")
@@ -119,7 +119,7 @@ def parse(node: Any) -> Expr:
             raise _fail("'struct_field' needs a 'field'.")
         return StructField(_one(node), name)
     if op not in FUNCTIONS:
-        raise _fail(f"Unknown expression operator '{op}'.")
+        raise _fail(f"There is no expression operator '{op}'.")
     least, most = FUNCTIONS[op].arity
     args = _args(node)
     if len(args) < least or (most is not None and len(args) > most):

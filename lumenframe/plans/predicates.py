@@ -73,7 +73,7 @@ def _name(x: Any) -> str | None:
 def parse(node: Any) -> Node:
     """A node from its request form; INVALID_PREDICATE if it is malformed."""
     if not isinstance(node, Mapping):
-        raise _fail("A predicate must be an object.")
+        raise _fail("A predicate is an object.")
     op = _name(node.get("op"))
     if "column" not in node:
         if op is None:
@@ -87,7 +87,7 @@ def parse(node: Any) -> Node:
             if not isinstance(node.get("condition"), Mapping):
                 raise _fail("'not' needs one 'condition' object.")
             return Not(parse(node["condition"]))
-        raise _fail(f"Unknown logical operator '{op}'.")
+        raise _fail(f"There is no logical operator '{op}'.")
     column = _name(node["column"])
     if column is None:
         raise _fail("'column' must be a non-empty string.")
@@ -110,7 +110,7 @@ def parse(node: Any) -> Node:
         if "low" not in node or "high" not in node:
             raise _fail(f"'between' on '{column}' needs 'low' and 'high'.")
         return Condition(column, op, low=node["low"], high=node["high"])
-    raise _fail(f"Unknown operator '{op}' on column '{column}'.")
+    raise _fail(f"Column '{column}' can't be compared by '{op}'.")
 
 
 Resolver = Callable[[str], tuple[Column, T.DataType]]
