@@ -1,4 +1,10 @@
-"""Connected components by alternating large and small stars, without collecting links anywhere."""
+"""Connected components by alternating large and small stars, without collecting links anywhere.
+
+Defined results: links without one of their ends, loops and repeats count for nothing; nodes
+without a link, and roots, have no row; no links give no rows; other columns don't matter. A
+node with very many links is a hot key of the joins by it: its links are counted once for each
+task before they are shuffled, and adaptive execution splits what is joined with its least one.
+"""
 
 from __future__ import annotations
 

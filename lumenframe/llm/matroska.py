@@ -6,7 +6,9 @@ timestamp and byte range. Element ids are those of RFC 8794 and RFC 9559.
 
 Defined results: null media gives no packets; null text is stored as empty text; empty text
 is one block of 64 zero bytes; broken files raise ``ValueError`` in parse() and give one row
-with ``error`` set in packet_table(). Equal texts give equal files: no dates or random ids.
+with ``error`` set in packet_table(). Equal texts give equal files: no dates or random ids, so
+repeated rows give equal rows, each for itself. Texts of any length become one file, of as many
+clusters as needed; an empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations

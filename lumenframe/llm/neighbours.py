@@ -9,7 +9,8 @@ is searched for every query, and the blocks' best are merged.
 Defined results: vectors that are null, all zero, or hold null or non-finite components take
 no part, as candidate or as query; vectors meet only vectors of as many components; rows that
 share an id count once, with the smallest vector; ties go to the smaller id; a query with
-fewer candidates than asked for gets them all.
+fewer candidates than asked for gets them all; an empty table gives an empty table; other
+columns don't matter, whatever their names.
 
 Vectors without structure have neighbours hardly nearer than the rest, so a forest must look
 at a large share of a block to find them: ``share`` is that share.

@@ -7,7 +7,10 @@ sigmoid(score - threshold), so 0.5 is that quantile.
 
 Defined results: null and empty texts have a zero vector and a score as any text; label rows
 without id or label are left out; a document with several labels counts once for each; with
-one class only, or none, every score is 1 (all good, or nothing known) or 0.
+one class only, or none, every score is 1 (all good, or nothing known) or 0; texts of any
+length are read whole; repeated rows are scored alike, each for itself; ties in the fitting
+scores are ordered as the sample is, and the threshold lies half-way between its neighbours; an
+empty table gives an empty table; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, table
 
 #: Bound on the fitting sample: so many labelled rows of each class, those with the smallest hashes; and so many preference pairs.
 FIT_ROWS, PAIRS = 4_000, 16_000
@@ -123,7 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, folds: int, held
             yield pa.RecordBatch.from_pydict({"y": batch.column(0).cast(pa.int32()), "x": pa.array(x, pa.list_(pa.float64()))})
 
     # The sample has a proven bound, 2 * rows ids.
-    found = docs.select(F.col(ident).alias("own_id"), F.col(text).alias("own_text")).join(F.broadcast(sample), F.col("own_id") == F.col("fit_id")).select("fit_label", "own_text").mapInArrow(vectors, "y int, x array<double>").toArrow()
+    found = docs.select(quoted(ident).alias("own_id"), quoted(text).alias("own_text")).join(F.broadcast(sample), F.col("own_id") == F.col("fit_id")).select("fit_label", "own_text").mapInArrow(vectors, "y int, x array<double>").toArrow()
     y = found.column("y").to_numpy()
     x = np.array(found.column("x").combine_chunks().flatten()).reshape(-1, WIDTH)
     order = np.lexsort([*x.T[:: max(1, WIDTH // 16)], y])  # rows come in any order; the fit shall not depend on it
@@ -141,7 +144,7 @@ def score_quality(docs: DataFrame, model: BradleyTerry, ident: str = "doc_id", t
                 s = model.score(np.array([features(t) for t in part]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(s)], names=["id", "score"])
 
-    return docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(scores, "id long, score double")
+    return docs.select(quoted(ident).cast("long"), quoted(text)).mapInArrow(scores, "id long, score double")
 
 
 def op1_bradley_terry(spark, sf_dir: str) -> DataFrame:

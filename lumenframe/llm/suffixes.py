@@ -16,7 +16,8 @@ have equal anchors, and a run of windows with one anchor is a short string aroun
 
 Defined results: matches never cross documents; null text is empty; a null id counts as
 larger than all others; rows with equal ids don't remove each other's bytes; texts shorter
-than the window stay whole; other columns stay as they are.
+than the window stay whole; very long texts are handled whole, in slices that overlap; an empty
+table gives an empty table; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import struct
@@ -87,3 +88,77 @@ def test_contract(spark, clashing, no_documents, tmp_path):
         assert found and by_payload.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
     no_documents.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert M.op9_matroska(spark, str(tmp_path / "none")).count() == 0
+
+
+def plain_frames(data):
+    """The samples of a file, by a reader of its own that knows known sizes, simple blocks, no lacing and EBML lacing."""
+
+    def vint(at, keep):
+        first = data[at]
+        n = 8 - first.bit_length() + 1
+        x = int.from_bytes(data[at : at + n], "big")
+        return (x if keep else x - (1 << 7 * n)), at + n
+
+    def walk(at, end):
+        while at < end:
+            ident, at = vint(at, True)
+            size, at = vint(at, False)
+            yield ident, at, at + size
+            at += size
+
+    def signed(at):
+        x, after = vint(at, False)
+        return x - (1 << (7 * (after - at) - 1)) + 1, after
+
+    out, counts = [], {"clusters": 0, "cues": 0, "packets": 0, "last": 0}
+    (_, a, b) = next(e for e in walk(0, len(data)) if e[0] == 0x18538067)
+    for ident, x, y in walk(a, b):
+        if ident == 0x1C53BB6B:
+            counts["cues"] += sum(i == 0xBB for i, _, _ in walk(x, y))
+        if ident != 0x1F43B675:
+            continue
+        counts["clusters"] += 1
+        time = 0
+        for i, p, q in walk(x, y):
+            if i == 0xE7:
+                time = int.from_bytes(data[p:q], "big")
+            elif i == 0xA3:
+                _, p = vint(p, False)
+                start, flags = time + int.from_bytes(data[p : p + 2], "big", signed=True), data[p + 2]
+                p += 3
+                sizes = []
+                if flags >> 1 & 3:
+                    n, p = data[p] + 1, p + 1
+                    if flags >> 1 & 3 == 2:
+                        sizes = [(q - p) // n] * n
+                    else:
+                        assert flags >> 1 & 3 == 3
+                        size, p = vint(p, False)
+                        sizes = [size]
+                        for _ in range(n - 2):
+                            step, p = signed(p)
+                            sizes.append(sizes[-1] + step)
+                        sizes.append(q - p - sum(sizes))
+                else:
+                    sizes = [q - p]
+                for k, size in enumerate(sizes):
+                    out.append(data[p : p + size])
+                    p += size
+                    counts["last"] = start + 128 * k
+                counts["packets"] += len(sizes)
+    return b"".join(out), counts
+
+
+def test_stored_files_and_features_are_those_of_a_plain_reader(spark, nasty):
+    rows = M.mux_texts(nasty, "doc_id", "text").collect()
+    digests = collections.defaultdict(list)
+    for r in M.media_digests(M.mux_texts(nasty, "doc_id", "text")).collect():
+        digests[r["media_sha256"]].append(r)
+    assert len(rows) == nasty.count()
+    for r in rows:
+        samples, counts = plain_frames(bytes(r["media"]))
+        for d in digests[hashlib.sha256(r["media"]).hexdigest()]:
+            assert samples[: r["n_bytes"]].decode() in {x["text"] or "" for x in nasty.collect()} and len(samples) % 64 == 0 and not any(samples[r["n_bytes"] :])
+            assert (d["payload_sha256"], d["tail_crc32"], d["payload_bytes"]) == (hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(samples))
+            crossings = sum((a < 128) != (b < 128) for a, b in zip(samples, samples[1:]))
+            assert d["feature"] == f"clusters={counts['clusters']};cues={counts['cues']};packets={counts['packets']};last_ms={counts['last']};sum={sum(samples)};energy={sum((x - 128) ** 2 for x in samples)};crossings={crossings}"

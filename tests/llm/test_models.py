@@ -46,6 +46,52 @@ def test_bradley_terry_orders_pairs():
     assert model.weights[0] > model.weights[1] > abs(model.weights[5])
 
 
+def plain_features(text):
+    """The vector from its description, with lists and dictionaries."""
+    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "'\"()[]{}-", "|", "*#$%&@^~+=<>/\\_`"]
+    data = (text or "").encode()
+    out = [0.0] * (13 * 13 + 10)
+    if not data:
+        return out
+    kind = [11 if b > 127 else next((k for k, g in enumerate(groups) if chr(b) in g), 12) for b in data]
+    for a, b in zip(kind, kind[1:]):
+        out[13 * a + b] += 1
+    out = [math.sqrt(x / max(1, len(data) - 1)) for x in out]
+    words, lines = data.split(), [x for x in data.split(b"\n") if x]
+    if words:
+        n, sizes = len(words), [len(w) for w in words]
+        mean = sum(sizes) / n
+        out[169:] = [math.log1p(len(data)), math.log1p(n), math.log1p(len(set(words))), len(set(words)) / n, mean / 10, math.sqrt(sum((x - mean) ** 2 for x in sizes) / n) / 10, math.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), math.log1p(n / max(1, len(lines))), 1.0]
+    return out
+
+
+def test_features_and_scores_are_those_of_a_plain_version(spark, nasty):
+    texts = [None, "", "a", "A. b!\n\nA. b!\x00\x7f", "é😀 x|y", "  \n", prose(4, 300), *(r["text"] for r in nasty.collect())]
+    for t in texts:
+        assert Q.features(t) == pytest.approx(plain_features(t), abs=1e-12)
+    r = random.Random(2)
+    model = Q.BradleyTerry(*[np.array([r.gauss(0, 1) for _ in range(Q.WIDTH)]) for _ in range(2)], np.array([1 + r.random() for _ in range(Q.WIDTH)]), 0.7)
+    found = {(x["id"], round(x["score"], 9)) for x in Q.score_quality(nasty, model).collect()}
+    for x in nasty.collect():
+        raw = sum((v - m) / s * w for v, m, s, w in zip(plain_features(x["text"]), model.mean, model.scale, model.weights)) - 0.7
+        assert any(i == x["doc_id"] and abs(s - 1 / (1 + math.exp(-raw))) < 1e-6 for i, s in found)
+
+
+def test_bradley_terry_minimises_the_pairs_loss():
+    """The gradient of the logistic loss of all drawn pairs, computed pair by pair, vanishes at the learned weights."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, Q.WIDTH)) * (np.arange(Q.WIDTH) < 4)
+    y = (x[:, 0] + rng.standard_normal(60) > 0).astype(int)
+    model = Q.learn(x, y, pairs=500, seed=5)
+    z = (x - model.mean) / model.scale
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(5)
+    pairs = list(zip(good[draw.permutation(500) % len(good)], bad[draw.permutation(500) % len(bad)]))
+    for k in range(4):
+        slope = sum(-(z[g][k] - z[b][k]) / (1 + math.exp(float((z[g] - z[b]) @ model.weights))) for g, b in pairs) / len(pairs) + 1e-3 * model.weights[k]
+        assert abs(slope) < 1e-6
+
+
 def test_features_take_any_text():
     for text in (None, "", " ", "a", "é😀", "x" * 3_000_000, prose(1, 50_000)):
         v = Q.features(text)

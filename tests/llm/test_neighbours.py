@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,20 @@ def test_defined_results(spark):
 
 def test_op10_columns(spark):
     assert op10_hash_prefix_forest(spark, "/root/testdata/sf0.001").columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_op10_recall_on_the_test_tables(spark, sf):
+    """Of all queries, against all rows."""
+    t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").to_pydict()
+    ids, x = np.array(t["vec_id"]), np.array(t["embedding"], np.float32).astype(float)
+    found = {}
+    for r in op10_hash_prefix_forest(spark, f"/root/testdata/{sf}").collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    queries = ids[ids % 100 == 0].tolist()
+    hits = 0
+    for q in queries:
+        best = dict(brute(ids, x, q, x[ids == q][0], 10))
+        hits += len(best.keys() & found[q].keys())
+        assert all(found[q][v] == pytest.approx(best[v], abs=1e-12) for v in best.keys() & found[q].keys()) and len(found[q]) == 10
+    assert hits / (10 * len(queries)) >= 0.9
