@@ -97,6 +97,7 @@ class KneserNeyPair:
     def evidence_of(self, w: np.ndarray) -> tuple[float, float]:
         if not len(w):
             return 0.0, 0.0
+        w = w.astype(np.int64, copy=False)
         v = np.empty_like(w)
         v[0], v[1:] = START, w[:-1]
         d = self.context[v] + self.word[w]
@@ -165,7 +166,7 @@ def backoff(corpus: CorpusCounts) -> np.ndarray:
 
 def kept_part(counts: np.ndarray, total: np.ndarray | float, below: np.ndarray, ratio: float) -> np.ndarray:
     """What the discounts leave of the counts; nothing of those whose log-likelihood ratio against ``below`` is too small."""
-    left = counts - discounts(counts[counts > 0])[np.minimum(counts, 3).astype(int)]
+    left = counts - discounts(counts[counts > 0])[np.minimum(counts, 3)]
     own = np.maximum(left, 1e-300) / np.maximum(total, 1)
     return np.where((left > 0) & (counts * np.log(own / below) >= ratio), left, 0.0)
 
@@ -176,16 +177,16 @@ def learn_pair(vocabulary: list[bytes], seen: Sequence[tuple[np.ndarray, np.ndar
     shared, logs = backoff(corpus), []
     union = distinct(np.concatenate((seen[0][0], seen[1][0])))
     v, w = union // size, union % size
-    own = np.zeros((2, len(union)))
+    own = np.zeros((2, len(union)), np.int32)
     for k, (keys, n) in enumerate(seen):
         own[k, np.searchsorted(union, keys)] = n
-    pooled = own.sum(0)
-    pooled_left = np.where(pooled > 1, pooled - discounts(pooled)[np.minimum(pooled, 3).astype(int)], 0.0)
+    pooled = own.sum(0, dtype=np.int32)
+    pooled_left = np.where(pooled > 1, pooled - discounts(pooled)[np.minimum(pooled, 3)], 0.0)
     pooled_mass = np.bincount(v, pooled, size)
     pooled_weight = 1 - np.bincount(v, pooled_left, size) / np.maximum(pooled_mass, 1)
     told = pooled_left > 0  # bigrams with a count that stays on some level
     for counts in own:
-        types = np.bincount(w[counts > 0], minlength=size).astype(float)  # continuation: distinct words before
+        types = np.bincount(w[counts > 0], minlength=size)  # continuation: distinct words before
         total = max(1.0, types.sum())
         left = kept_part(types, total, shared, ratio)
         word = left / total + (1 - left.sum() / total) * shared
@@ -266,27 +267,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, folds: int, hel
     vocabulary = vocabulary_of(texts)
     width = len(vocabulary) + 2
     blank = KneserNeyPair(vocabulary, np.zeros(width), np.zeros(width), np.zeros(0, np.int64), np.zeros(0))
-    corpus, ids = corpus_counts(docs, text, vocabulary), [blank.word_ids(t) for t in texts]
+    corpus, ids = corpus_counts(docs, text, vocabulary), [blank.word_ids(t).astype(np.int32) for t in texts]
+    del texts, blank
     # Copies of a text share its part, so that no text is held out from a model that has counted it.
-    part = np.array([zlib.crc32(w.tobytes()) for w in ids]) % PARTS
+    part = np.array([zlib.crc32(w.astype(np.int64).tobytes()) for w in ids]) % PARTS
     weights = np.array([sizes[k] / (y == k).sum() for k in (0, 1)])[y] * len(y) / sum(sizes.values())  # the sample's rows stand for all
 
     def counted(use: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return [class_counts((ids[k] for k in np.flatnonzero(use & (y == c))), width) for c in (1, 0)]
 
-    seen = [counted(part != p) for p in range(PARTS)]
-    best, chosen, curve = np.inf, RATIOS[0], empty.curve
-    for ratio in RATIOS:
-        evidence = np.zeros((len(y), 2))
-        for p in range(PARTS):
-            model = learn_pair(vocabulary, seen[p], corpus, ratio)
+    evidence = np.zeros((len(RATIOS), len(y), 2))
+    for p in range(PARTS):
+        seen = counted(part != p)
+        for tried, ratio in zip(evidence, RATIOS):
+            model = learn_pair(vocabulary, seen, corpus, ratio)
             for k in np.flatnonzero(part == p):
-                evidence[k] = model.evidence_of(ids[k])
-        tried = KneserNeyPair([], *[np.zeros(0)] * 4, fit_curve(evidence, y, weights))
-        p = np.clip(tried.score(evidence), 1e-6, 1 - 1e-6)
+                tried[k] = model.evidence_of(ids[k])
+    best, chosen, curve = np.inf, RATIOS[0], empty.curve
+    for tried, ratio in zip(evidence, RATIOS):
+        fitted = KneserNeyPair([], *[np.zeros(0)] * 4, fit_curve(tried, y, weights))
+        p = np.clip(fitted.score(tried), 1e-6, 1 - 1e-6)
         loss = -(weights * np.where(y == 1, np.log(p), np.log(1 - p))).sum()
         if loss < best:
-            best, chosen, curve = loss, ratio, tried.curve
+            best, chosen, curve = loss, ratio, fitted.curve
     model = learn_pair(vocabulary, counted(np.ones(len(y), bool)), corpus, chosen).narrowed()
     model.curve = curve
     return model
