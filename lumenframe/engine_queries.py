@@ -343,7 +343,7 @@ def _limits(spark, d):
     stop = threading.Event()
     stop.set()
     slow = {"left": "lineitem", "right": "lineitem", "into": "x", "how": "cross"}
-    timeout = s.engine.execute("dataframe_join", slow, Options(max_execution_time_ms=300))
+    timeout = s.engine.execute("dataframe_join", slow, Options(max_execution_time_ms=1))
     cancelled = s.engine.execute("dataframe_schema", {"dataset_id": "nation"}, Options(cancel=stop))
     fine = s.engine.execute("dataframe_sort", {"dataset_id": "nation", "into": "x", "by": [col("n_name")]}, Options(max_execution_time_ms=600_000, max_memory_bytes=1 << 30))
     return facts(spark, [("plan", bool(plan) and "Filter" in plan), ("no plan", none is None), ("timeout", timeout.error_code), ("cancelled before", cancelled.error_code), ("within limits", fine.row_count), ("memory warns", bool(fine.warnings))])
