@@ -18,6 +18,7 @@ Strings of special tokens in a text are these tokens, as the tokenizer's file ha
 from __future__ import annotations
 
 import json
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, quoted, stored, table
 
@@ -52,6 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
+        #: Bytes of an id while pieces are stored and shuffled.
+        self.width = 2 if max(self.plain.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
         self.added: list[str] = []
         self.fast = self._ranked(path)
 
@@ -110,7 +114,9 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_token: int = END_TOKEN) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit numbers."""
+    """(doc_id, piece, start, length, ids): ids are little-endian unsigned numbers, of 16 bits if the vocabulary allows; see widened()."""
+    if end_token >= 1 << 16 and encoder(tokenizer).width == 2:
+        raise ValueError("the end token is not in the vocabulary")
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECES.types)], schema=PIECES)
@@ -119,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "
         encode, out, held = encoder(tokenizer), [], 0
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(x), end_token], "<u4")
+                ids = np.array([*encode(x), end_token], f"<u{encode.width}")
                 out += [(i, k, s, n, ids[s : s + n].tobytes()) for k, (s, n) in enumerate(cut(ids, capacity))]
                 held += ids.nbytes + 64
                 if held > HELD_BYTES:
@@ -289,6 +295,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     )
 
 
+def widened(packed: DataFrame, width: int) -> DataFrame:
+    """The same rows with ids as little-endian unsigned 32-bit numbers, and their CRC-32 as ids_crc32."""
+    at = packed.columns.index("ids")
+    names = [*packed.columns, *fresh(packed.columns, "ids_crc32")]
+
+    def rows(batches):
+        for batch in batches:
+            wide = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column(at).to_pylist()]
+            columns = [pa.array(wide, pa.binary()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([zlib.crc32(x) for x in wide], pa.int64())], names=names)
+
+    return packed.mapInArrow(rows, T.StructType([*packed.schema, T.StructField(names[-1], T.LongType())]))
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids) of packed pieces: each sequence's token ids, in order."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most ``capacity`` tokens
@@ -296,13 +316,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
-    return pack(stored(pieces(docs, tokenizer, capacity=capacity), "pieces"), capacity)
-
-
-def with_digests(packed: DataFrame) -> DataFrame:
-    """The ids replaced by their CRC-32."""
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    """(doc_id, piece, start, length, ids, sequence_id, offset, ids_crc32) of every piece."""
+    return widened(pack(stored(pieces(docs, tokenizer, capacity=capacity), "pieces"), capacity), encoder(tokenizer).width)
 
 
 def default_tokenizer() -> str:
@@ -312,4 +327,4 @@ def default_tokenizer() -> str:
 
 
 def op2_bin_completion(spark, sf_dir: str) -> DataFrame:
-    return with_digests(pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()))
+    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lumenframe.llm.packing import complete_bins, cut, default_tokenizer, encoder, fillings, lower_bound, op2_bin_completion, pack, pack_documents, sequences, with_digests
+from lumenframe.llm.packing import complete_bins, cut, default_tokenizer, encoder, fillings, lower_bound, op2_bin_completion, pack, pack_documents, sequences
 
 from .conftest import prose
 
@@ -122,8 +122,7 @@ def check_packed(rows, docs, capacity=2048):
 
 
 def test_nasty_documents(spark, clashing, no_documents):
-    packed = pack_documents(clashing, default_tokenizer())
-    rows = with_digests(packed).collect()
+    rows = pack_documents(clashing, default_tokenizer()).collect()
     assert check_packed(rows, clashing.collect()) >= -(-sum(r["length"] for r in rows) // 2048)
     assert pack_documents(no_documents, default_tokenizer()).count() == 0
 
@@ -136,12 +135,13 @@ def test_hot_lengths_are_spread(spark):
 
 def test_empty_texts_are_packed(spark):
     docs = spark.range(5_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', NULL) AS text")
-    assert check_packed(with_digests(pack_documents(docs, default_tokenizer())).collect(), docs.collect()) == 3
+    assert check_packed(pack_documents(docs, default_tokenizer()).collect(), docs.collect()) == 3
 
 
 def test_sequences_hold_the_documents_tokens(spark, nasty):
     encode = encoder(default_tokenizer())
     packed = pack_documents(nasty, default_tokenizer()).cache()
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in packed.collect())
     whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in sequences(packed).collect()}
     assert max(map(len, whole.values())) <= 2048
     parts = collections.defaultdict(list)
